@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import shards
+from helixlake.llm import packing, secrets, shards
 from helixlake.plans.staging import ship
 
 
@@ -13,6 +13,22 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, base patterns and confirmed structures."""
+    return secrets.digest_columns(secrets.find_secrets(_docs(spark, sf_dir).select("doc_id", "text")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids."""
+    return packing.pack(_docs(spark, sf_dir), _tokenizer("word_bpe_49k.json"), 2048)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39 of row counts at most one apart."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
@@ -22,7 +38,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op10_sharding": op10_sharding}
+    return {"op3_secrets": op3_secrets, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
