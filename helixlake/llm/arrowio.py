@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 4 << 20):
     """Cut a batch into runs of rows of about `budget` bytes of text (one row at least), to bound a task's memory."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > budget:

@@ -10,6 +10,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixlake.llm.arrowio import slices, texts
 from helixlake.plans.staging import ship
@@ -167,8 +168,9 @@ def find_secrets(docs: DataFrame, redacting: bool = False) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.drop("spans", "redacted")
     names = [c for c in docs.columns if c != "text" or redacting]
-    schema = docs.select(*names).schema.add("spans", "array<struct<kind:string,start:bigint,end:bigint>>")
-    return docs.mapInArrow(_scan(names, redacting), schema.add("redacted", "string") if redacting else schema)
+    added = T.StructType.fromDDL("spans array<struct<kind:string,start:bigint,end:bigint>>" + ", redacted string" * redacting)
+    schema = T.StructType(docs.select(*names).schema.fields + added.fields)
+    return docs.mapInArrow(_scan(names, redacting), schema)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
