@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import packing, secrets, shards
+from helixlake.llm import packing, pieces, secrets, shards
 from helixlake.plans.staging import ship
 
 
@@ -24,6 +24,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.find_secrets(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return pieces.encode_decode(_docs(spark, sf_dir).select("doc_id", "text"), _tokenizer("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
     return packing.pack(_docs(spark, sf_dir), _tokenizer("word_bpe_49k.json"), 2048)
@@ -38,7 +43,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_secrets": op3_secrets, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+    return {"op3_secrets": op3_secrets, "op5_sentencepiece": op5_sentencepiece, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
