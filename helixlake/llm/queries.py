@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import packing, pieces, secrets, shards
+from helixlake.llm import minhash, packing, pieces, secrets, shards
 from helixlake.plans.staging import ship
 
 
@@ -19,6 +19,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents over two-word shingles."""
+    return minhash.near_duplicates(_docs(spark, sf_dir), words=2, percent=80)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, base patterns and confirmed structures."""
     return secrets.digest_columns(secrets.find_secrets(_docs(spark, sf_dir).select("doc_id", "text")))
@@ -43,7 +48,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_secrets": op3_secrets, "op5_sentencepiece": op5_sentencepiece, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+    return {"op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op5_sentencepiece": op5_sentencepiece, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
