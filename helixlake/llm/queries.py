@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import minhash, packing, pieces, secrets, shards
+from helixlake.llm import minhash, packing, pieces, secrets, shards, winnow
 from helixlake.plans.staging import ship
 
 
@@ -29,6 +29,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.find_secrets(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of all documents and of their edited texts."""
+    return winnow.fingerprint_edits(_docs(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     return pieces.encode_decode(_docs(spark, sf_dir).select("doc_id", "text"), _tokenizer("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -48,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op5_sentencepiece": op5_sentencepiece, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+    return {"op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
