@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import minhash, packing, pieces, secrets, shards, winnow
+from helixlake.llm import langid, minhash, packing, pieces, secrets, shards, winnow
 from helixlake.plans.staging import ship
 
 
@@ -39,6 +39,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(_docs(spark, sf_dir).select("doc_id", "text"), _tokenizer("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from two of three documents."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    model = langid.train(docs.filter(~held_out), pieces.load(_tokenizer("piece_bpe_32k.model")).piece)
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
     return packing.pack(_docs(spark, sf_dir), _tokenizer("word_bpe_49k.json"), 2048)
@@ -53,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+    return {"op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op7_language": op7_language, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
