@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import langid, minhash, packing, pieces, secrets, shards, toxicity, winnow
+from helixlake.llm import langid, lines, minhash, packing, pieces, secrets, shards, toxicity, winnow
 from helixlake.plans.staging import ship
 
 
@@ -57,6 +57,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated lines."""
+    out = lines.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
     return packing.pack(_docs(spark, sf_dir), _tokenizer("word_bpe_49k.json"), 2048)
@@ -71,7 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op7_language": op7_language, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op7_language": op7_language, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
