@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import langid, lines, minhash, packing, pieces, secrets, shards, toxicity, winnow
+from helixlake.llm import langid, lines, minhash, neighbours, packing, pieces, secrets, shards, toxicity, winnow
 from helixlake.plans.staging import ship
 
 
@@ -49,6 +49,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(_docs(spark, sf_dir).select("doc_id", "text"), _tokenizer("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; learned from two of three documents."""
     docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
@@ -77,7 +82,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op7_language": op7_language, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op6_neighbours": op6_neighbours, "op7_language": op7_language, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
