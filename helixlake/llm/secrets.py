@@ -159,7 +159,7 @@ def _scan(names: list[str], redacting: bool):
 
 
 def find_secrets(docs: DataFrame, redacting: bool = False) -> DataFrame:
-    """Scan docs.text. Result: docs' columns without text, spans array<struct<kind,start,end>>, and with redacting also text,
+    """Scan docs.text. Result: docs' columns without text, spans array<struct<kind,start,end>>, and with redacting also
     redacted (null for null).
 
     A null or empty text has no spans. Nulls elsewhere, repeated rows and further columns are kept as they are (those
@@ -167,7 +167,7 @@ def find_secrets(docs: DataFrame, redacting: bool = False) -> DataFrame:
     """
     ship(docs.sparkSession)
     docs = docs.drop("spans", "redacted")
-    names = [c for c in docs.columns if c != "text" or redacting]
+    names = [c for c in docs.columns if c != "text"]
     added = T.StructType.fromDDL("spans array<struct<kind:string,start:bigint,end:bigint>>" + ", redacted string" * redacting)
     schema = T.StructType(docs.select(*names).schema.fields + added.fields)
     return docs.mapInArrow(_scan(names, redacting), schema)
