@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from helixlake.llm.arrowio import slices
 from helixlake.plans.staging import stage, unstage
 
 #: Up to so many ids (16 MB as a hash table) are broadcast to fetch texts; more are joined by a shuffle.
@@ -34,14 +34,14 @@ def components(edges: DataFrame) -> DataFrame:
         unstage(was)
 
 
-def fetch(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id, text) of texts whose id is in ids (distinct)."""
+def fetch(texts: Callable[[DataFrame], DataFrame], ids: DataFrame) -> DataFrame:
+    """The rows (id, text) of ids (distinct), from texts(ids), which may return others too."""
     ids = stage(ids, "ids")
     few = ids.count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return texts(ids).join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def confirm(edges: DataFrame, texts: DataFrame, features: Callable[[pa.Array], list[np.ndarray]], linked: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+def confirm(edges: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable[[pa.Array], list[np.ndarray]], linked: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
     """The edges (center, member) whose whole texts are linked.
 
     Each centre's text goes once to each group of about MEMBERS of its members and is compared while they stream by,
@@ -56,61 +56,89 @@ def confirm(edges: DataFrame, texts: DataFrame, features: Callable[[pa.Array], l
 
     def compare(batches):
         at, own = None, []
-        for b in batches:
-            got = {"center": [], "member": []}
-            for c, p, m, x in zip(b.column("center").to_pylist(), b.column("part").to_pylist(), b.column("member").to_pylist(), features(b.column("text")), strict=True):
-                if (c, p) != at:
-                    at, own = (c, p), []
-                if m is None:
-                    own.append(x)
-                elif any(linked(o, x) for o in own):
-                    got["center"].append(c)
-                    got["member"].append(m)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in got.values()], names=list(got))
+        for batch in batches:
+            for b in slices(batch):
+                got = {"center": [], "member": []}
+                for c, p, m, x in zip(b.column("center").to_pylist(), b.column("part").to_pylist(), b.column("member").to_pylist(), features(b.column("text")), strict=True):
+                    if (c, p) != at:
+                        at, own = (c, p), []
+                    if m is None:
+                        own.append(x)
+                    elif any(linked(o, x) for o in own):
+                        got["center"].append(c)
+                        got["member"].append(m)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in got.values()], names=list(got))
 
     rows = centers.unionByName(members).repartition("center", "part").sortWithinPartitions("center", "part", F.col("member").asc_nulls_first())
     return rows.mapInArrow(compare, "center long, member long").distinct()
 
 
-def link_buckets(buckets: DataFrame, near: Callable, test: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, comp) over the links between members of a same bucket. buckets: (bucket, member, trait), rows distinct.
+def link_buckets(buckets: DataFrame, near: Callable, texts: Callable[[DataFrame], DataFrame], features: Callable, linked: Callable) -> DataFrame:
+    """(node, comp) over the links between members of a same bucket. buckets: (bucket, member, trait).
 
-    near(trait, trait) is a cheap necessary condition as a Column; test(edges) confirms edges (center, member).
-    Each round proposes stars only: a bucket's smallest member with the others. A bucket is done when its members
-    are in one group. What is left (members that no centre linked) gets further centres, twice as many each round, and
-    none once its members have all been centres. So no link inside a bucket is lost, and no bucket makes all its pairs.
+    near(trait, trait) is a cheap necessary condition as a Column; texts(ids) gives (id, text) of ids (id); features and
+    linked confirm a pair on whole texts. First come stars: each bucket's smallest member with its others, confirmed;
+    a bucket whose members are in one group then is done. The members of the others, which no centre linked, form
+    families through the buckets they share, and every pair of a family's different groups is compared, in blocks,
+    inside tasks: no link is lost, and rows stay in proportion to members and blocks, not to pairs.
     """
-    tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("low")).filter("n > 1")
-    live = stage(buckets.join(tops.select("bucket"), "bucket"), "live")
-    groups = tested = None
-    links = []
-    width = 1
-    while True:
-        now = live if groups is None else live.join(groups.withColumnRenamed("node", "member"), "member", "left")
-        now = now.withColumn("comp", F.coalesce("comp", "member") if groups is not None else F.col("member"))
-        if groups is not None:  # only buckets that still hold several groups
-            mixed = now.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
-            was, live = live, stage(now.join(mixed, "bucket").select("bucket", "member", "trait", "comp"), "live")
-            now = live
-            if live.isEmpty():
-                break
-        if width == 1:
-            heads = now.groupBy("bucket").agg(F.min(F.struct("member", "trait", "comp")).alias("head"))
-        else:
-            order = Window.partitionBy("bucket").orderBy("member")
-            heads = now.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= width).select("bucket", F.struct("member", "trait", "comp").alias("head"))
-        heads = heads.select("bucket", F.col("head.member").alias("center"), F.col("head.trait").alias("center_trait"), F.col("head.comp").alias("center_comp"))
-        pairs = now.join(heads, "bucket").filter((F.col("member") > F.col("center")) & (F.col("comp") != F.col("center_comp")) & near(F.col("center_trait"), F.col("trait")))
-        pairs = pairs.select("center", "member").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["center", "member"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links.append(stage(test(pairs), "links"))
-        every = links[0]
-        for x in links[1:]:
-            every = every.unionByName(x)
-        groups = stage(components(every.select(F.col("center").alias("u"), F.col("member").alias("v"))), "groups")
-        live = now.select("bucket", "member", "trait").join(heads.select("bucket", F.col("center").alias("member")), ["bucket", "member"], "left_anti")
-        width *= 2
-    return groups
+    tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("member", "trait")).alias("low")).filter("n > 1").select("bucket", "low")
+    live = stage(buckets.join(tops, "bucket"), "live")
+    stars = live.filter((F.col("member") != F.col("low.member")) & near(F.col("low.trait"), F.col("trait")))
+    stars = stage(stars.select(F.col("low.member").alias("center"), "member").distinct(), "stars")
+    links = stage(confirm(stars, texts, features, linked), "links")
+    as_edges = lambda x: x.select(F.col("center").alias("u"), F.col("member").alias("v"))
+    groups = stage(components(as_edges(links)), "groups")
+    now = live.join(groups.withColumnRenamed("node", "member"), "member", "left").select("bucket", "member", F.col("low.member").alias("low"), F.coalesce("comp", "member").alias("comp"))
+    mixed = now.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
+    rest = stage(now.join(mixed, "bucket"), "rest")
+    unstage(live)
+    families = components(rest.filter("member <> low").select(F.col("low").alias("u"), F.col("member").alias("v")).distinct())
+    members = stage(rest.select("member", "comp").distinct().join(families.select(F.col("node").alias("member"), F.col("comp").alias("family")), "member"), "members")
+    unstage(rest)
+    more = stage(_compare_families(members, texts, features, linked), "more")
+    if more.isEmpty():
+        return groups
+    return components(as_edges(links.unionByName(more)))
+
+
+def _compare_families(members: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable, linked: Callable) -> DataFrame:
+    """Links (center, member) between different groups (comp) of a family. members: (member, comp, family).
+
+    A family's largest group is side 0, all others side 1. Both are cut into blocks of about MEMBERS; a task compares
+    one block with another (or with itself), which meets each pair of sides 0 and 1 and of side 1 once. Nothing is
+    compared within side 0. A member goes to as many tasks as its blocks meet.
+    """
+    sizes = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / MEMBERS).cast("int")
+    main = main.select("family", F.col("top.comp").alias("main"), blocks(F.col("top.n")).alias("n0"), F.greatest(blocks(F.col("all") - F.col("top.n")), F.lit(1)).alias("n1"))
+    dealt = members.join(main, "family").withColumn("side", (F.col("comp") != F.col("main")).cast("int"))
+    own = F.pmod(F.xxhash64("member"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
+    dealt = dealt.withColumn("own", own)
+    upto = lambda c: F.sequence(F.lit(0), c - 1)
+    pair = lambda a, i, b, j: F.struct(a.cast("int").alias("a"), i.cast("int").alias("i"), b.cast("int").alias("b"), j.cast("int").alias("j"))
+    zero, one = F.lit(0), F.lit(1)
+    across = F.when(F.col("side") == 0, F.transform(upto(F.col("n1")), lambda j: pair(zero, F.col("own"), one, j))).otherwise(F.concat(F.transform(upto(F.col("n0")), lambda i: pair(zero, i, one, F.col("own"))), F.transform(upto(F.col("n1")), lambda j: pair(one, F.least(j, F.col("own")), one, F.greatest(j, F.col("own"))))))
+    placed = dealt.select("family", "member", "comp", "side", "own", F.explode(across).alias("task"))
+    placed = placed.join(fetch(texts, members.select(F.col("member").alias("id")).distinct()).withColumnRenamed("id", "member"), "member")
+    placed = placed.select("family", F.concat_ws(":", "task.a", "task.i", "task.b", "task.j").alias("task"), (F.col("side") * 1_000_000 + F.col("own")).alias("block"), "member", "comp", "text")
+
+    def compare(batches):
+        at, kept = None, []
+        for batch in batches:
+            for b in slices(batch):
+                got = {"center": [], "member": []}
+                for f, t, k, m, c, x in zip(*(b.column(n).to_pylist() for n in ("family", "task", "block", "member", "comp")), features(b.column("text")), strict=True):
+                    if (f, t) != at:
+                        at, kept = (f, t), []
+                    alone = len({*t.split(":")[0::2]}) == 1 and len({*t.split(":")[1::2]}) == 1
+                    for k2, m2, c2, x2 in kept:
+                        if c2 != c and (alone or k2 != k) and m2 != m and linked(x2, x):
+                            got["center"].append(min(m, m2))
+                            got["member"].append(max(m, m2))
+                    kept.append((k, m, c, x))
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in got.values()], names=list(got))
+
+    rows = placed.repartition("family", "task").sortWithinPartitions("family", "task", "block", "member")
+    return rows.mapInArrow(compare, "center long, member long").distinct()
