@@ -30,7 +30,7 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         self.names = sorted({p for p in (x.lower() for x in pieces) if 0 < len(p) <= LONGEST and (p.lstrip("▁").isalpha() or p == "▁") and "▁" not in p[1:]})
         with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.concatenate(([1], np.full(WORD + 1, _BASE, U64))).astype(U64), dtype=U64)
+            self.power = np.cumprod(np.concatenate(([U64(1)], np.full(WORD + 1, _BASE, U64))), dtype=U64)
             inverse = U64(pow(_BASE, -1, 1 << 64))
             self.inverse = np.cumprod(np.concatenate(([U64(1)], np.full(WORD + 1, inverse, U64))), dtype=U64)
         self.bits = 20
