@@ -23,7 +23,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 _PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}(?![A-Za-z0-9+/=_-])")
-_HEX_KEY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{80,}|[0-9A-F]{80,})(?![0-9A-Za-z])")
+_HEX_KEY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
 
 
 def unbase64(s: str) -> bytes | None:
