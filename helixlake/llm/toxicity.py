@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from helixlake.llm.arrowio import slices, texts
 from helixlake.plans.staging import ship
 
 #: Labelled documents that the classifier is fitted on, at most about so many of each label (by a hash of doc_id).
-TRAIN_TOXIC, TRAIN_CLEAN = 2000, 6000
+TRAIN_TOXIC, TRAIN_CLEAN = 1000, 3000
+#: Windows of _WINDOW tokens, with cues and without, that the chain is fitted on at most.
+HOT_WINDOWS, PLAIN_WINDOWS = 6000, 3000
 CACHE_WORDS = 400_000
 _WORD = re.compile(r"[^\W_]+")
 _STEMS = range(3, 9)
@@ -50,6 +53,7 @@ def marginals(score: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> np.nd
     up[:n] = np.clip(score, -40, 40)
     first = np.zeros(rows * width, bool)
     first[starts] = True
+    first[n:] = True  # what fills the last block is no part of the last chain
     t = np.exp(trans)
     e = np.exp(up)
     top = np.maximum(e, 1.0)
@@ -133,7 +137,7 @@ def document_features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(n), x, np.log1p(np.maximum(total - most, 0)), most, length / 5, x * length / 5], 1)
 
 
-def _fit_chain(seqs: list[tuple[list[int], list[int]]], features: list[list[int]], size: int, rounds: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
+def _fit_chain(seqs: list[tuple[np.ndarray, np.ndarray]], features: list[list[int]], size: int, rounds: int = 150, decay: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
     """Maximum conditional likelihood of labelled windows by Adam. seqs: (word numbers, labels); features: by word."""
     n, width = len(seqs), max(len(s[0]) for s in seqs)
     word, label, here = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64), np.zeros((n, width), bool)
@@ -192,22 +196,25 @@ def _fit_documents(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: floa
     return theta
 
 
-def fit(rows: list[tuple[str, int]], weight_of: dict[int, float]) -> Tagger | None:
+def fit(rows: Iterable[tuple[str, int]], weight_of: dict[int, float]) -> Tagger | None:
     """A tagger from labelled documents. Words of toxic documents are labelled toxic where they, or a beginning of
     them, are in toxic documents far more often (five times the share, and more than chance among so many would give)."""
-    docs = [(_WORD.findall(lowered(t)), y) for t, y in rows]
+    number: dict[str, int] = {}
+    docs = [(np.asarray([number.setdefault(w, len(number)) for w in _WORD.findall(lowered(t))], np.int32), int(y)) for t, y in rows]
+    words = list(number)
+    del number
     n = Counter(y for _, y in docs)
     if not n[0] or not n[1]:
         return None
-    toxic = Counter()
+    toxic: Counter = Counter()
     for d, y in docs:
         if y:
-            toxic.update({u for w in set(d) for u in units(w)})
+            toxic.update({u for i in np.unique(d) for u in units(words[i])})
     toxic = Counter({u: k for u, k in toxic.items() if k >= 3})
-    clean = Counter()
+    clean: Counter = Counter()
     for d, y in docs:
         if not y:
-            clean.update({u for w in set(d) for u in units(w) if u in toxic})
+            clean.update({u for i in np.unique(d) for u in units(words[i]) if u in toxic})
     share = lambda u: (toxic[u] / n[1]) / ((clean[u] + 0.5) / n[0])
     often = [u for u in toxic if share(u) >= 5]
 
@@ -219,34 +226,24 @@ def fit(rows: list[tuple[str, int]], weight_of: dict[int, float]) -> Tagger | No
         return out
 
     cues = {u for u in often if surprise(u) >= 2 * math.log(max(2, len(often))) + 2}
-    number: dict[str, int] = {}
-    feature: dict[str, int] = {}
-    features: list[list[int]] = []
-    marked: list[bool] = []
-    seqs, plain = [], []
+    feature = {u: i for i, u in enumerate(sorted(toxic))}
+    marked = np.asarray([any(u in cues for u in units(w)) for w in words], bool)
+    hot, plain = [], []
     for d, y in docs:
-        for w in d:
-            if w not in number:
-                number[w] = len(number)
-                own = units(w)
-                marked.append(any(u in cues for u in own))
-                features.append([feature.setdefault(u, len(feature)) for u in own if u in toxic])
-        ids = [number[w] for w in d]
-        for a in range(0, len(ids), _WINDOW):
-            part = ids[a : a + _WINDOW]
-            hot = [int(bool(y and marked[i])) for i in part]
-            (seqs if any(marked[i] for i in part) else plain).append((part, hot))
-    seqs = seqs[:20_000]
-    step = max(1, len(plain) // max(2000, len(seqs)))
-    seqs += plain[::step][: max(2000, len(seqs))]
+        for a in range(0, len(d), _WINDOW):
+            part = d[a : a + _WINDOW]
+            (hot if marked[part].any() else plain).append((part, (marked[part] & bool(y)).astype(np.int8)))
+    seqs = hot[:: max(1, -(-len(hot) // HOT_WINDOWS))] + plain[:: max(1, -(-len(plain) // PLAIN_WINDOWS))]
     if not seqs:
         return None
+    features = [[feature[u] for u in units(w) if u in feature] for w in words]
     w, bias, trans = _fit_chain(seqs, features, max(1, len(feature)))
     tagger = Tagger({u: float(w[i]) for u, i in feature.items() if abs(w[i]) > 1e-3}, bias, trans, np.zeros(6))
-    p, bounds = tagger.tokens([d for d, _ in docs])
+    scores = np.asarray([tagger.word_score(x) for x in words])
+    bounds = np.concatenate([[0], np.cumsum([len(d) for d, _ in docs])]).astype(np.int64)
+    p = marginals(scores[np.concatenate([d for d, _ in docs])], bounds[:-1][bounds[:-1] < bounds[1:]], trans)
     y = np.asarray([y for _, y in docs])
     tagger.doc = _fit_documents(document_features(p, bounds), y, np.asarray([weight_of[int(k)] for k in y]))
-    tagger.known, tagger.scores = {}, np.zeros(0)
     return tagger
 
 
@@ -260,9 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
     share = {k: min(1.0, most / max(1, have.get(k, 0))) for k, most in ((1, toxic), (0, clean))}
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) / 1e6
     chosen = labels.filter(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).limit(2 * (toxic + clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted(((r.doc_id, r.text or "", int(r.toxic)) for r in rows))
-    return fit([(t, y) for _, t, y in rows], {k: 1 / share[k] for k in share})
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text")
+    return fit(((r.text or "", int(r.toxic)) for r in rows.toLocalIterator()), {k: 1 / share[k] for k in share})
 
 
 def _score(tagger: Tagger, names: list[str], spans: bool):
