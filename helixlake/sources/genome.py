@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixlake.functions.sequence import bases, region_class, text_bases
+from helixlake.plans.staging import stage
 
 
 def with_starts(contigs: DataFrame) -> DataFrame:
     """Add len and start, a contig's offset in its genome in the order of contig_id. Only (genome, id, length) is
     windowed; sequences are not moved by it when contigs are few, being joined back by a broadcast of checked size."""
-    sized = contigs.withColumn("len", F.length("seq").cast("long"))
+    sized = contigs if "len" in contigs.columns else contigs.withColumn("len", F.length("seq").cast("long"))
     order = Window.partitionBy("genome").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
     starts = sized.select("genome", "contig_id", F.coalesce(F.sum("len").over(order), F.lit(0)).alias("start"))
     return sized.join(starts, ["genome", "contig_id"])
 
 
+def prepared(contigs: DataFrame) -> DataFrame:
+    """Contigs written once, so that the passes of a query read coded bases instead of coding them again."""
+    return with_starts(stage(contigs.withColumn("len", F.length("seq").cast("long")), "genome"))
+
+
 def read_fasta(spark: SparkSession, path: str, genome: str, include: str | None = None) -> DataFrame:
     """Contigs of a FASTA file, plain or gzipped, in file order. A name is the header's first word; `include` keeps
     contigs whose name contains it, the others taking no offset; what precedes the first header is dropped."""
@@ -33,9 +39,9 @@ def read_fasta(spark: SparkSession, path: str, genome: str, include: str | None
 
 def from_texts(df: DataFrame, genome: Column, contig_id: Column, text: Column, letters_only: bool = False, include: str | None = None) -> DataFrame:
     """Contigs made of a table's texts, so that any corpus can be analysed like a genome collection."""
-    coded = F.coalesce(text_bases(text, letters_only), F.lit("")).cast("binary")
-    out = df.select(genome.alias("genome"), contig_id.cast("long").alias("contig_id"), F.concat(F.lit("d"), contig_id.cast("string")).alias("name"), coded.alias("seq"))
-    return with_starts(out if include is None else out.filter(F.contains("name", F.lit(include))))
+    out = df.select(genome.alias("genome"), contig_id.cast("long").alias("contig_id"), F.concat(F.lit("d"), contig_id.cast("string")).alias("name"), text.alias("text"))
+    out = out if include is None else out.filter(F.contains("name", F.lit(include)))
+    return prepared(out.repartition("genome", "contig_id").select("genome", "contig_id", "name", F.coalesce(text_bases(F.col("text"), letters_only), F.lit("")).cast("binary").alias("seq")))
 
 
 def index(contigs: DataFrame) -> DataFrame:
