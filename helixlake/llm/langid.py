@@ -152,7 +152,7 @@ def _predict(model: Model, names: list[str]):
             for part in slices(batch):
                 words = [_WORDS.findall(t.lower()) for t in texts(part)]
                 known = state.setdefault("known", {})
-                new = set().union(*words) - known.keys()
+                new = {w for w in set().union(*words) if w not in known}
                 if len(known) + len(new) > CACHE_WORDS or "logs" not in state:
                     known = state["known"] = {}
                     state["logs"] = np.zeros((0, groups))

@@ -77,7 +77,7 @@ class WordIds:
     def encode(self, docs: list[str]) -> list[bytes]:
         odd = {i for i, t in enumerate(docs) if any(c in t for c in _ODD)}
         words = [[] if i in odd else _folded(t).split() for i, t in enumerate(docs)]
-        new = set().union(*words) - self.known.keys()
+        new = {w for w in set().union(*words) if w not in self.known}
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = {}
             new = set().union(*words)

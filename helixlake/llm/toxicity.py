@@ -107,7 +107,7 @@ class Tagger:
 
     def tokens(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of all words, and n + 1 bounds of documents among them."""
-        new = set().union(*docs) - self.known.keys()
+        new = {w for w in set().union(*docs) if w not in self.known}
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known, self.scores = {}, np.zeros(0)
             new = set().union(*docs)
