@@ -73,15 +73,19 @@ def confirm(edges: DataFrame, texts: Callable[[DataFrame], DataFrame], features:
     return rows.mapInArrow(compare, "center long, member long").distinct()
 
 
-def link_buckets(buckets: DataFrame, near: Callable, texts: Callable[[DataFrame], DataFrame], features: Callable, linked: Callable) -> DataFrame:
+def link_buckets(buckets: DataFrame, near: Callable, texts: Callable[[DataFrame], DataFrame], features: Callable, linked: Callable, selective: bool = False) -> DataFrame:
     """(node, comp) over the links between members of a same bucket. buckets: (bucket, member, trait).
 
     near(trait, trait) is a cheap necessary condition as a Column; texts(ids) gives (id, text) of ids (id); features and
     linked confirm a pair on whole texts. First come stars: each bucket's smallest member with its others, confirmed;
     a bucket whose members are in one group then is done. The members of the others, which no centre linked, form
     families through the buckets they share, and every pair of a family's different groups is compared, in blocks,
-    inside tasks: no link is lost, and rows stay in proportion to members and blocks, not to pairs.
+    inside tasks: no link is lost, and rows stay in proportion to members and blocks, not to pairs. Where near is
+    selective (few pairs but links pass it), members of different groups meet by a join on buckets under near instead,
+    which gives no more rows than such pairs.
     """
+    if selective:  # buckets are small but for links, so their rows are dealt once and serve both the counts and the join
+        buckets = buckets.repartition("bucket")
     tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("member", "trait")).alias("low")).filter("n > 1").select("bucket", "low")
     live = stage(buckets.join(tops, "bucket"), "live")
     stars = live.filter((F.col("member") != F.col("low.member")) & near(F.col("low.trait"), F.col("trait")))
@@ -89,10 +93,15 @@ def link_buckets(buckets: DataFrame, near: Callable, texts: Callable[[DataFrame]
     links = stage(confirm(stars, texts, features, linked), "links")
     as_edges = lambda x: x.select(F.col("center").alias("u"), F.col("member").alias("v"))
     groups = stage(components(as_edges(links)), "groups")
-    now = live.join(groups.withColumnRenamed("node", "member"), "member", "left").select("bucket", "member", F.col("low.member").alias("low"), F.coalesce("comp", "member").alias("comp"))
+    now = live.join(groups.withColumnRenamed("node", "member"), "member", "left").select("bucket", "member", "trait", F.col("low.member").alias("low"), F.coalesce("comp", "member").alias("comp"))
     mixed = now.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
     rest = stage(now.join(mixed, "bucket"), "rest")
     unstage(live)
+    if selective:
+        other = rest.select("bucket", F.col("member").alias("m2"), F.col("trait").alias("t2"), F.col("comp").alias("c2"))
+        meet = (rest["bucket"] == other["bucket"]) & (F.col("member") < F.col("m2")) & (F.col("comp") != F.col("c2")) & near(F.col("trait"), F.col("t2"))
+        pairs = stage(rest.join(other, meet).select(F.col("member").alias("center"), F.col("m2").alias("member")).distinct(), "pairs")
+        return components(as_edges(links.unionByName(confirm(pairs, texts, features, linked))))
     families = components(rest.filter("member <> low").select(F.col("low").alias("u"), F.col("member").alias("v")).distinct())
     members = stage(rest.select("member", "comp").distinct().join(families.select(F.col("node").alias("member"), F.col("comp").alias("family")), "member"), "members")
     unstage(rest)

@@ -383,7 +383,7 @@ def test_lines(spark):
     top = lambda i: i if comp[i] == i else top(comp[i])
     for a, b in itertools.combinations(range(len(names)), 2):
         x, y = names[a], names[b]
-        if min(len(x), len(y)) >= 16 and (int(sim[a]) ^ int(sim[b])).bit_count() <= 3 and 100 * edits(x, y) <= 20 * max(len(x), len(y)):
+        if (int(sim[a]) ^ int(sim[b])).bit_count() <= 3 and 100 * edits(x, y) <= 20 * max(len(x), len(y)):
             comp[top(b)] = top(a)
     first = {}
     for i, x in enumerate(names):
