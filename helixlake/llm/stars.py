@@ -73,21 +73,29 @@ def confirm(edges: DataFrame, texts: Callable[[DataFrame], DataFrame], features:
     return rows.mapInArrow(compare, "center long, member long").distinct()
 
 
-def link_buckets(buckets: DataFrame, near: Callable, texts: Callable[[DataFrame], DataFrame], features: Callable, linked: Callable, selective: bool = False) -> DataFrame:
-    """(node, comp) over the links between members of a same bucket. buckets: (bucket, member, trait).
+def link_buckets(buckets: DataFrame, near: Callable, texts: Callable[[DataFrame], DataFrame], features: Callable, linked: Callable, traits: DataFrame | None = None) -> DataFrame:
+    """(node, comp) over the links between members of a same bucket. buckets: (bucket, member, trait), or (bucket, member) with traits: (member, trait).
 
     near(trait, trait) is a cheap necessary condition as a Column; texts(ids) gives (id, text) of ids (id); features and
     linked confirm a pair on whole texts. First come stars: each bucket's smallest member with its others, confirmed;
     a bucket whose members are in one group then is done. The members of the others, which no centre linked, form
     families through the buckets they share, and every pair of a family's different groups is compared, in blocks,
-    inside tasks: no link is lost, and rows stay in proportion to members and blocks, not to pairs. Where near is
-    selective (few pairs but links pass it), members of different groups meet by a join on buckets under near instead,
-    which gives no more rows than such pairs.
+    inside tasks: no link is lost, and rows stay in proportion to members and blocks, not to pairs. With traits, near
+    must be selective (few pairs but links pass it, and most members share no bucket): only members that share one get
+    their trait, and members of different groups meet by a join on buckets under near instead, which gives no more rows
+    than such pairs.
     """
+    selective = traits is not None
     if selective:  # buckets are small but for links, so their rows are dealt once and serve both the counts and the join
         buckets = buckets.repartition("bucket")
-    tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("member", "trait")).alias("low")).filter("n > 1").select("bucket", "low")
-    live = stage(buckets.join(tops, "bucket"), "live")
+        tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("top")).filter("n > 1").select("bucket", "top")
+        shared = stage(buckets.join(tops, "bucket"), "shared")
+        lows = traits.select(F.col("member").alias("top"), F.struct("member", "trait").alias("low"))
+        live = stage(shared.join(traits, "member").join(lows, "top").select("bucket", "member", "trait", "low"), "live")
+        unstage(shared)
+    else:
+        tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("member", "trait")).alias("low")).filter("n > 1").select("bucket", "low")
+        live = stage(buckets.join(tops, "bucket"), "live")
     stars = live.filter((F.col("member") != F.col("low.member")) & near(F.col("low.trait"), F.col("trait")))
     stars = stage(stars.select(F.col("low.member").alias("center"), "member").distinct(), "stars")
     links = stage(confirm(stars, texts, features, linked), "links")
