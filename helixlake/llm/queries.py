@@ -64,7 +64,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated lines."""
-    out = lines.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    out = lines.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"), distance=None)
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 

@@ -86,10 +86,10 @@ def link_buckets(buckets: DataFrame, near: Callable, texts: Callable[[DataFrame]
     than such pairs.
     """
     selective = traits is not None
-    if selective:  # buckets are small but for links, so their rows are dealt once and serve both the counts and the join
+    if selective:  # buckets are small but for links, so their rows, which may repeat, are dealt once and serve both the counts and the join
         buckets = buckets.repartition("bucket")
-        tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("top")).filter("n > 1").select("bucket", "top")
-        shared = stage(buckets.join(tops, "bucket"), "shared")
+        tops = buckets.groupBy("bucket").agg(F.max("member").alias("last"), F.min("member").alias("top")).filter("top < last").select("bucket", "top")
+        shared = stage(buckets.join(tops, "bucket").distinct(), "shared")
         lows = traits.select(F.col("member").alias("top"), F.struct("member", "trait").alias("low"))
         live = stage(shared.join(traits, "member").join(lows, "top").select("bucket", "member", "trait", "low"), "live")
         unstage(shared)

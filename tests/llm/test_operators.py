@@ -396,6 +396,45 @@ def test_lines(spark):
         assert (got[i].n_lines, got[i].n_dropped) == (len(ls), sum((i, k) in gone for k in range(len(ls))))
 
 
+@pytest.mark.parametrize(("percent", "few"), [(80, False), (80, True), (60, False)])
+def test_lines_by_edit_similarity_alone(spark, percent, few):
+    """Few: of a small vocabulary, so that all pairs of words are frequent and repeat within a line."""
+    r = random.Random(percent + few)
+    word = lambda: r.choice("abcdefghij"[: 3 if few else 10]) * r.randint(1, 2) + ("" if few else "".join(r.choice("klmnopqrst") for _ in range(2)))
+    pool = [[word() for _ in range(r.choice([3, 4, 5, 6, 9, 10, 12, 20, 40, 110]))] for _ in range(60)]
+    rows = []
+    for i in range(240):
+        w = list(r.choice(pool))
+        for _ in range(r.randint(0, len(w) // 4 + 1)):
+            k = r.randrange(len(w))
+            w[k : k + r.randint(0, 1)] = [word()] * r.randint(0, 1)
+            w = w or [word()]
+        rows.append(tuple(w))
+    docs = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {x.doc_id: x.n_dropped for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), percent, distance=None).collect()}
+    comp = list(range(len(rows)))
+    top = lambda i: i if comp[i] == i else top(comp[i])
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        x, y = rows[a], rows[b]
+        if min(len(x), len(y)) >= 3 and 100 * edits(x, y) <= (100 - percent) * max(len(x), len(y)):
+            a, b = sorted((top(a), top(b)))
+            comp[b] = a
+    want = {i: int(top(i) != i) for i in range(len(rows))}
+    assert got == want and 20 < sum(want.values()) < 220
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=14), st.lists(st.integers(0, 3), min_size=1, max_size=14), st.sampled_from([50, 67, 80, 90]), st.integers(0, 2**20))
+def test_similar_lines_share_a_rare_gram(a, b, percent, seed):
+    a, b = (np.asarray([zlib.crc32(bytes([w])) * 0x9E3779B97F4A7C15 % 2**64 for w in x], np.uint64) for x in (a, b))
+    similar = lines.edit_similar(a, b, percent)
+    assert lines.similar(a, b, percent) == similar
+    counts = np.random.default_rng(seed).integers(0, 3, lines.SLOTS, dtype=np.int32) if seed % 8 == 0 else np.zeros(lines.SLOTS, np.int32)
+    gram, line = lines.rare_grams(np.concatenate([a, b]), np.asarray([len(a), len(b)]), percent, counts)
+    if similar and min(len(a), len(b)) >= lines.gram_length(percent):
+        assert set(gram[line == 0]) & set(gram[line == 1])
+
+
 def test_line_tables_are_pigeonholes():
     for n in (1, 10**6, 10**8, 10**11):
         tables = lines.block_tables(n)
