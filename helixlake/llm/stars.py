@@ -88,24 +88,31 @@ def link_buckets(buckets: DataFrame, near: Callable, texts: Callable[[DataFrame]
     selective = traits is not None
     if selective:  # buckets are small but for links, so their rows, which may repeat, are dealt once and serve both the counts and the join
         buckets = buckets.repartition("bucket")
-        tops = buckets.groupBy("bucket").agg(F.max("member").alias("last"), F.min("member").alias("top")).filter("top < last").select("bucket", "top")
-        shared = stage(buckets.join(tops, "bucket").distinct(), "shared")
-        lows = traits.select(F.col("member").alias("top"), F.struct("member", "trait").alias("low"))
-        live = stage(shared.join(traits, "member").join(lows, "top").select("bucket", "member", "trait", "low"), "live")
-        unstage(shared)
+        tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("member").alias("last"), F.min("member").alias("top")).filter("top < last").select("bucket", "top", (F.col("n") > 2).alias("many"))
+        live = stage(buckets.join(tops, "bucket").distinct(), "live")
+        stars = live.filter("member <> top").select(F.col("top").alias("center"), "member").distinct()
+        lows = traits.select(F.col("member").alias("center"), F.col("trait").alias("low"))
+        stars = stars.join(traits, "member").join(lows, "center").filter(near(F.col("low"), F.col("trait"))).select("center", "member")
     else:
         tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("member", "trait")).alias("low")).filter("n > 1").select("bucket", "low")
         live = stage(buckets.join(tops, "bucket"), "live")
-    stars = live.filter((F.col("member") != F.col("low.member")) & near(F.col("low.trait"), F.col("trait")))
-    stars = stage(stars.select(F.col("low.member").alias("center"), "member").distinct(), "stars")
+        stars = live.filter((F.col("member") != F.col("low.member")) & near(F.col("low.trait"), F.col("trait")))
+        stars = stars.select(F.col("low.member").alias("center"), "member").distinct()
+    stars = stage(stars, "stars")
     links = stage(confirm(stars, texts, features, linked), "links")
     as_edges = lambda x: x.select(F.col("center").alias("u"), F.col("member").alias("v"))
     groups = stage(components(as_edges(links)), "groups")
-    now = live.join(groups.withColumnRenamed("node", "member"), "member", "left").select("bucket", "member", "trait", F.col("low.member").alias("low"), F.coalesce("comp", "member").alias("comp"))
+    own = groups.withColumnRenamed("node", "member")
+    if selective:  # a bucket of two was one star, so nothing is left to compare
+        now = live.filter("many").join(own, "member", "left").select("bucket", "member", F.coalesce("comp", "member").alias("comp"))
+    else:
+        now = live.join(own, "member", "left").select("bucket", "member", "trait", F.col("low.member").alias("low"), F.coalesce("comp", "member").alias("comp"))
+    now = now.repartition("bucket") if selective else now
     mixed = now.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
     rest = stage(now.join(mixed, "bucket"), "rest")
     unstage(live)
     if selective:
+        rest = rest.join(traits, "member")
         other = rest.select("bucket", F.col("member").alias("m2"), F.col("trait").alias("t2"), F.col("comp").alias("c2"))
         meet = (rest["bucket"] == other["bucket"]) & (F.col("member") < F.col("m2")) & (F.col("comp") != F.col("c2")) & near(F.col("trait"), F.col("t2"))
         pairs = stage(rest.join(other, meet).select(F.col("member").alias("center"), F.col("m2").alias("member")).distinct(), "pairs")
