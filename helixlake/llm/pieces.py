@@ -17,6 +17,8 @@ from helixlake.plans.staging import ship
 SPACE = "▁"
 #: Stretches of text whose ids a Python worker keeps, and compatibility answers; when full, they start anew.
 CACHE_UNITS = 400_000
+#: Characters beyond which only the parts of a unit are kept, if it has some.
+LONG_UNIT = 64
 CACHE_PAIRS = 1_000_000
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 
@@ -168,13 +170,25 @@ class PieceModel:
         if got is None:
             if len(self.units) >= CACHE_UNITS:
                 self.units = {}
-            if len(unit) > 2 and unit[-2:] not in self.joined:  # such as a comma after a word
-                got = self._known(unit[:-1]) + self._known(unit[-1])
+            cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.joined]  # such as before a comma after a word
+            if cuts:
+                got = b"".join(self._whole(unit[a:b]) for a, b in pairwise([0, *cuts, len(unit)]))
+                if len(unit) > LONG_UNIT:
+                    return got
             else:
                 got = self._unit(unit)
             self.units[unit] = got
         return got
 
+    def _whole(self, part: str) -> bytes:
+        """A unit, or a part of one, that has no place to cut."""
+        got = self.units.get(part)
+        if got is None:
+            if len(self.units) >= CACHE_UNITS:
+                self.units = {}
+            got = self.units[part] = self._unit(part)
+        return got
+
     def encode(self, text: str) -> bytes:
         """All ids of a text with begin and end, as little-endian unsigned 32-bit integers."""
         head, tail = self.bos.to_bytes(4, "little"), self.eos.to_bytes(4, "little")

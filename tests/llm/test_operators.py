@@ -256,6 +256,16 @@ def test_sentencepiece_is_the_library(spark):
         assert own.decode(ids) == lib.decode(ids)
 
 
+def test_sentencepiece_long_runs_without_joins():
+    model = pieces.load(queries._tokenizer("piece_bpe_32k.model"))
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries._tokenizer("piece_bpe_32k.model"))
+    for text in ("\u6f22\u5b57\u4eec" * 2000, "\u0e01\u0e02\u0e2d\u0e07" * 1500, "\U0001f44d" * 3000, "a, " + "\U0001f44d\u6f22" * 1500 + " word,"):
+        ids = np.frombuffer(model.encode(text), "<u4").tolist()
+        assert ids[1:-1] == library.encode(text) and model.decode(ids) == text
+
+
 def test_sentencepiece_edges(edge, none):
     out = {r.doc_id: r for r in pieces.encode_decode(edge, PIECE).collect()}
     assert list(out[3].ids) == [1, 2] == list(out[4].ids) and out[3].decoded == "" and out[9].decoded == "x" * 50000 and out[1].bucket == "kept"
