@@ -21,8 +21,15 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']? *[:=
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}(?![A-Za-z0-9+/=_-])")
+#: Any header that can hold {"alg":""} or more; three parts may start within three others.
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+))")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:(?:\s|\\[rn])*[A-Za-z][A-Za-z0-9-]*:[^\n\\]*(?:\n|\\[rn]))*)([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+#: A first line that starts as an encoded DER sequence or OpenSSH container does, and what parts lines.
+_FIRST = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{14,}(?=[ \t]*(?:\r?\n|\\[rn]))")
+_NEXT = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*(?=[A-Za-z0-9+/_-])")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_PAD = re.compile(r"={0,2}(?![A-Za-z0-9+/=_-])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}(?![A-Za-z0-9+/=_-])")
 _HEX_KEY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
 
 
@@ -97,6 +104,11 @@ def is_private_key(data: bytes | None) -> bool:
     return len(tags) == 6 and tags == [0x02] * 6  # DSA numbers
 
 
+def _opens(headers: str, data: bytes | None) -> bool:
+    """Whether a PEM body is a key: by its structure, or by headers that name its cipher, of which only whole bytes can be asked."""
+    return bool(data) if "ENCRYPTED" in headers and "DEK-Info:" in headers else is_private_key(data)
+
+
 def is_signed_token(s: str) -> bool:
     """Whether header and payload decode to JSON objects, the header names an algorithm, and a signature follows."""
     head, body, sign = s.split(".")[:3]
@@ -109,6 +121,71 @@ def is_signed_token(s: str) -> bool:
     return all(isinstance(x, dict) for x in found) and isinstance(found[0].get("alg"), str) and bool(unbase64(sign))
 
 
+def key_length(data: bytes) -> int | None:
+    """How many bytes the private key has that starts so (its first dozen in DER; all up to its private block in the OpenSSH
+    container); None if none does."""
+    magic = b"openssh-key-v1\0"
+    if data.startswith(magic):
+        at = len(magic)
+        for _ in range(3):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        count = int.from_bytes(data[at : at + 4], "big")
+        at += 4
+        for _ in range(count + 1 if 1 <= count <= 16 else 0):
+            if at + 4 > len(data):
+                return None
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at
+    n = data[1] if len(data) > 1 else 0
+    k = n & 0x7F if n & 0x80 else 0
+    at = 2 + k
+    if data[:1] != b"\x30" or k > 4 or data[at : at + 3] not in (b"\2\1\0", b"\2\1\1"):
+        return None
+    return at + (int.from_bytes(data[2:at], "big") if k else n)
+
+
+def wrapped_keys(text: str) -> list[tuple[int, int]]:
+    """Spans of encoded keys that run over several lines. Each kind of key tells its length, so lines after it don't count."""
+    out = []
+    done = 0
+    for m in _FIRST.finditer(text):
+        if m.start() < done:
+            continue
+        container = m[0].startswith("b3Bl")
+        n = None if container else key_length(unbase64(m[0][:16]) or b"")
+        if n is None and not container:
+            continue
+        need = None if n is None else (4 * n + 2) // 3
+        parts, have, at = [], 0, m.start()
+        while need is None or have < need:
+            run = _RUN.match(text, at)
+            if not run:
+                break
+            parts.append((at, run[0]))
+            have += len(run[0])
+            at = run.end()
+            more = _NEXT.match(text, at)
+            if not more:
+                break
+            at = more.end()
+        joined = "".join(p for _, p in parts)
+        if container:
+            n = key_length(unbase64(joined[: len(joined) // 4 * 4]) or b"")
+            need = 0 if n is None else (4 * n + 2) // 3
+        if not 0 < need <= len(joined) or not is_private_key(unbase64(joined[:need])):
+            continue
+        before = 0
+        for at, p in parts:
+            if before + len(p) >= need:
+                end = _PAD.match(text, at + need - before)
+                if end:
+                    done = end.end()
+                    out.append((m.start(), done))
+                break
+            before += len(p)
+    return out
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, ordered by start, then kind as listed in KINDS.
 
@@ -121,9 +198,11 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "eyJ" in text:
         spans += [("token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+    spans += [("token", *m.span(1)) for m in _DOTTED.finditer(text) if is_signed_token(m[1])]
     keys = []
     if "PRIVATE KEY-----" in text:
-        keys += [m.span() for m in _PEM.finditer(text) if "ENCRYPTED" in m[1] or is_private_key(unbase64(re.sub(r"\\n|\s", "", m[2])))]
+        keys += [m.span() for m in _PEM.finditer(text) if "ENCRYPTED" in m[1] or _opens(m[2], unbase64(re.sub(r"\\[rn]|\s", "", m[3])))]
+    keys += wrapped_keys(text)
     if any(len(w) >= 40 for w in text.split()):
         keys += [m.span() for m in _BASE64.finditer(text) if is_private_key(unbase64(m[0]))]
         keys += [m.span() for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))]

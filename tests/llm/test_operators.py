@@ -184,6 +184,32 @@ def test_secrets():
     assert secrets.redact("ab cd ef", [("hex", 0, 4), ("assign", 3, 5)]) == "[hex] ef"
 
 
+def test_secrets_in_other_wrappings():
+    number = lambda n: der(2, bytes([1]) + bytes(range(n - 1)))
+    rsa = der(0x30, der(2, b"\0"), *[number(n) for n in (129, 3, 128, 64, 64, 64, 64, 64)])
+    blob = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + blob(b"none") + blob(b"none") + blob(b"") + (1).to_bytes(4, "big") + blob(b"p" * 51) + blob(b"s" * 136)
+    cut = lambda b, sep="\n": sep.join(re.findall(".{1,64}", base64.b64encode(b).decode()))
+    assert secrets.is_private_key(rsa) and secrets.is_private_key(ssh)
+    one = base64.b64encode(rsa).decode()
+    assert secrets.scan(f"DEPLOY_KEY={one}\nnext") == [("key", 11, 11 + len(one))]
+    for key in (rsa, ssh):
+        for sep in ("\n", "\r\n", "\\n", "\n    "):
+            for before, after in (("", ""), ("see\nbelow\n", "\nand then more words"), ("k: ", "\nMIIEword"), ("KEY=", " end")):
+                whole = cut(key, sep)
+                assert secrets.scan(before + whole + after) == [("key", len(before), len(before + whole))], (key[:5], sep, before)
+    assert secrets.scan(cut(rsa[:-1])) == [] and secrets.scan(cut(der(0x30, der(0x30, rsa)))) == []
+    body = cut(bytes(range(256)) * 2)
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABB\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert ("key", 2, 2 + len(pem)) in secrets.scan("a " + pem + " b")
+    assert [s for s in secrets.scan(pem.replace("Proc-Type: 4,ENCRYPTED", "Comment: mine")) if s[0] == "key"] == []
+    coded = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+    for head in ('{\n "alg": "HS256"}', '{ "alg":"none", "typ":"JWT"}', ' {"alg":"HS256"}'):
+        token = f"{coded(head)}.{coded('{ "sub": 1}')}.c2ln"
+        assert secrets.scan(f"x www.{token} y") == [("token", 6, 6 + len(token))]
+    assert secrets.scan("documentation.example.com and " + f"{coded('[1, 2, 3, 4, 5, 6]')}.{coded('{}')}.c2ln") == []
+
+
 def test_secrets_edges(edge, none):
     out = secrets.digest_columns(secrets.find_secrets(edge)).collect()
     six = next(r for r in out if r.doc_id == 6)
