@@ -471,6 +471,12 @@ def test_similar_lines_share_a_rare_gram(a, b, percent, seed):
         assert set(gram[line == 0]) & set(gram[line == 1])
 
 
+def test_lines_that_differ_in_numbers(spark):
+    docs = ["12 34 56", "98 76 54", "1.5 2.5 3.5", "12, 34; 56", "on 2024 01 02 paid 17", "on 2023 11 30 paid 99", "the total of all items in this list is now 17", "The total of all items in this list is now 18"]
+    out = lines.dedup_lines(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), distance=None)
+    assert [x.n_dropped for x in out.orderBy("doc_id").collect()] == [0, 0, 0, 1, 0, 0, 0, 1]
+
+
 def test_line_tables_are_pigeonholes():
     for n in (1, 10**6, 10**8, 10**11):
         tables = lines.block_tables(n)
