@@ -1,7 +1,8 @@
-"""Strata against sets and dictionaries, over planted genomes and a matrix of k, stride and plan."""
+"""Strata against sets and dictionaries, over mosaic genomes and a matrix of k, stride and plan."""
 
 import gzip
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,32 +17,40 @@ def comp(s):
     return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
 
 
-def planted(seed):
+def mosaic(seed, sizes):
+    """Genomes as mosaics: each contig is a row of bricks from one library, some turned round, some with changed letters,
+    with letters of all kinds in the joints. Returns {genome: {contig: text}}; what is shared follows from the bricks alone."""
     r = random.Random(seed)
-    rand = lambda n: "".join(r.choice("ACGT") for _ in range(n))
-    rep, half = rand(400), rand(60)
-    c1 = rand(3000) + rep + rand(1500) + comp(rep) + rand(500) + "N" * 37 + rand(1200) + rep[:200] + rand(300)
-    q = {"c1": c1, "c2": rand(900) + rep + rand(200), "c3": rand(400) + half + comp(half) + rand(400), "tiny": rand(10)}
-    s1 = {"s1a": rand(700) + c1[1000:2500] + rand(300) + comp(c1[3000:4200]) + rand(100), "s1b": rand(90) + q["c2"][900:1300]}
-    s2 = {"s2": rand(800) + q["c3"][300:700] + "acgtn" * 3 + rand(50) + c1[600:620] + rand(99)}
-    return {"q": q, "s1": s1, "s2": s2}
+    library = ["".join(r.choices("ACGT", weights=r.choices(range(1, 6), k=4), k=r.randint(25, 420))) for _ in range(14)]
+    library += [x + comp(x) for x in library[:2]]  # their middles are their own reverse complements
+
+    def brick():
+        x = r.choice(library)
+        x = comp(x) if r.random() < 0.4 else x
+        for _ in range(r.choice([0, 0, 1, 3])):
+            at = r.randrange(len(x))
+            x = x[:at] + r.choice(["A", "c", "", "GT", "n", "R"]) + x[at + 1 :]
+        return x.lower() if r.random() < 0.1 else x
+
+    joint = lambda: r.choice(["", "N", "nnnn", "ACGTAC", "y", "T" * 30])
+    return {g: {f"{g}{i}": "".join(brick() + joint() for _ in range(n)) for i, n in enumerate(rows)} for g, rows in sizes.items()}
 
 
 def contigs_of(spark, genomes):
-    rows = [(g, i, n, bytearray(s.upper().encode())) for g, cs in genomes.items() for i, (n, s) in enumerate(cs.items())]
+    rows = [(g, i, n, bytearray(re.sub("[^ACGT]", "N", s.upper()).encode())) for g, cs in genomes.items() for i, (n, s) in enumerate(cs.items())]
     return with_starts(spark.createDataFrame(rows, "genome string, contig_id long, name string, seq binary"))
 
 
 def canon(s, k):
     for i in range(len(s) - k + 1):
         w = s[i : i + k].upper()
-        if "N" not in w:
+        if set(w) <= set("ACGT"):
             yield i, min(w, comp(w))
 
 
 @pytest.fixture(scope="module")
 def genomes():
-    return planted(7)
+    return mosaic(7, {"q": [22, 9, 0, 1], "s1": [6, 14], "s2": [11]})
 
 
 @pytest.mark.parametrize("k,stride,small", [(21, 1, False), (32, 1, False), (16, 4, False), (33, 1, False), (51, 4, False), (201, 8, False), (25, 1, True), (101, 2, True)])
@@ -90,7 +99,7 @@ def test_edges(spark):
 
 
 def test_reverse_complement_is_the_same_subject(spark, genomes):
-    flipped = {"q": genomes["q"], "s": {n: comp(s.upper()) for n, s in genomes["q"].items()}}
+    flipped = {"q": genomes["q"], "s": {n: comp(re.sub("[^ACGT]", "N", s.upper())) for n, s in genomes["q"].items()}}
     rows = S.strata(contigs_of(spark, flipped), "q", ["s"], 31)
     assert rows.filter("pres = 0").count() == 0
 
