@@ -24,13 +24,13 @@ _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 #: Any header that can hold {"alg":""} or more; three parts may start within three others.
 _DOTTED = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+))")
 _PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:(?:\s|\\[rn])*[A-Za-z][A-Za-z0-9-]*:[^\n\\]*(?:\n|\\[rn]))*)([A-Za-z0-9+/=\s\\]+)-----END \1-----")
-#: A first line that starts as an encoded DER sequence or OpenSSH container does, and what parts lines.
-_FIRST = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{14,}(?=[ \t]*(?:\r?\n|\\[rn]))")
+#: How an encoded DER sequence or OpenSSH container starts, after whatever else, and what parts lines.
+_FIRST = re.compile(r"M[A-P](?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXkt(?=[A-Za-z0-9+/_-])")
 _NEXT = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*(?=[A-Za-z0-9+/_-])")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
-_PAD = re.compile(r"={0,2}(?![A-Za-z0-9+/=_-])")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}(?![A-Za-z0-9+/=_-])")
-_HEX_KEY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
+_PAD = re.compile(r"={0,2}")
+_HEX_KEY = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=0x))[0-9A-Fa-f]{64,}(?![0-9A-Za-z])")
+_CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Za-z0-9-]+,([0-9A-Fa-f]+)")
 
 
 def unbase64(s: str) -> bytes | None:
@@ -96,17 +96,43 @@ def is_private_key(data: bytes | None) -> bool:
         return False
     if len(tags) >= 9 and tags[:9] == [0x02] * 9:  # RSA numbers
         return True
-    if tags[1:3] == [0x30, 0x04]:  # algorithm, then the key's octets
-        inside = _elements(data, *parts[1][1:])
-        return bool(inside) and inside[0][0] == 0x06
+    if tags[1:3] == [0x30, 0x04]:  # algorithm, then the key's octets, then attributes and public key
+        return _is_algorithm(data, parts[1]) and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:]) and _is_inner_key(data[parts[2][1] : parts[2][2]])
     if tags[1:2] == [0x04] and version == b"\1":  # curve key
         return all(t in (0xA0, 0xA1) for t in tags[2:]) and 16 <= parts[1][2] - parts[1][1] <= 80
     return len(tags) == 6 and tags == [0x02] * 6  # DSA numbers
 
 
-def _opens(headers: str, data: bytes | None) -> bool:
-    """Whether a PEM body is a key: by its structure, or by headers that name its cipher, of which only whole bytes can be asked."""
-    return bool(data) if "ENCRYPTED" in headers and "DEK-Info:" in headers else is_private_key(data)
+def _is_algorithm(data: bytes, part: tuple[int, int, int]) -> bool:
+    inside = _elements(data, part[1], part[2])
+    return bool(inside) and inside[0][0] == 0x06 and inside[0][2] > inside[0][1]
+
+
+def _is_inner_key(data: bytes) -> bool:
+    """The octets of PKCS#8: a key of numbers or of a curve, the octets of an Edwards key, or one number."""
+    top = _der(data, 0, len(data))
+    if not top or top[2] != len(data):
+        return False
+    if top[0] == 0x30:
+        parts = _elements(data, top[1], top[2])
+        return bool(parts) and parts[0][0] == 0x02 and (is_private_key(data) or all(t == 0x02 for t, _, _ in parts))
+    return top[0] in (0x02, 0x04) and top[2] - top[1] >= 16
+
+
+def is_encrypted_key(data: bytes | None) -> bool:
+    """Whether the bytes are wholly an encrypted PKCS#8 key: an algorithm with parameters, then octets."""
+    top = _der(data, 0, len(data)) if data else None
+    parts = _elements(data, top[1], top[2]) if top and top[0] == 0x30 and top[2] == len(data) else None
+    return bool(parts) and [t for t, _, _ in parts] == [0x30, 0x04] and _is_algorithm(data, parts[0]) and parts[1][2] - parts[1][1] >= 16
+
+
+def _opens(name: str, headers: str, data: bytes | None) -> bool:
+    """Whether a PEM body is a key, by its structure. Where headers name a cipher, only whole blocks of it can be asked."""
+    if "ENCRYPTED" in name:
+        return is_encrypted_key(data)
+    if "ENCRYPTED" in headers and (start := _CIPHER.search(headers)):
+        return bool(data) and len(start[1]) >= 16 and len(data) % 8 == 0
+    return is_private_key(data)
 
 
 def is_signed_token(s: str) -> bool:
@@ -144,18 +170,20 @@ def key_length(data: bytes) -> int | None:
     return at + (int.from_bytes(data[2:at], "big") if k else n)
 
 
-def wrapped_keys(text: str) -> list[tuple[int, int]]:
-    """Spans of encoded keys that run over several lines. Each kind of key tells its length, so lines after it don't count."""
+def encoded_keys(text: str) -> list[tuple[int, int]]:
+    """Spans of base64 keys, on one line or over several. Each kind of key tells its length, so what follows it doesn't count."""
     out = []
     done = 0
     for m in _FIRST.finditer(text):
         if m.start() < done:
             continue
         container = m[0].startswith("b3Bl")
-        n = None if container else key_length(unbase64(m[0][:16]) or b"")
+        n = None if container else key_length(unbase64(text[m.start() : m.start() + 16]) or b"")
         if n is None and not container:
             continue
         need = None if n is None else (4 * n + 2) // 3
+        if need is not None and need > len(text) - m.start():
+            continue
         parts, have, at = [], 0, m.start()
         while need is None or have < need:
             run = _RUN.match(text, at)
@@ -177,10 +205,8 @@ def wrapped_keys(text: str) -> list[tuple[int, int]]:
         before = 0
         for at, p in parts:
             if before + len(p) >= need:
-                end = _PAD.match(text, at + need - before)
-                if end:
-                    done = end.end()
-                    out.append((m.start(), done))
+                done = _PAD.match(text, at + need - before).end()
+                out.append((m.start(), done))
                 break
             before += len(p)
     return out
@@ -201,11 +227,9 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     spans += [("token", *m.span(1)) for m in _DOTTED.finditer(text) if is_signed_token(m[1])]
     keys = []
     if "PRIVATE KEY-----" in text:
-        keys += [m.span() for m in _PEM.finditer(text) if "ENCRYPTED" in m[1] or _opens(m[2], unbase64(re.sub(r"\\[rn]|\s", "", m[3])))]
-    keys += wrapped_keys(text)
-    if any(len(w) >= 40 for w in text.split()):
-        keys += [m.span() for m in _BASE64.finditer(text) if is_private_key(unbase64(m[0]))]
-        keys += [m.span() for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))]
+        keys += [m.span() for m in _PEM.finditer(text) if _opens(m[1], m[2], unbase64(re.sub(r"\\[rn]|\s", "", m[3])))]
+    keys += encoded_keys(text)
+    keys += [m.span() for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))]
     spans += [("key", *s) for s in keys if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in keys)]
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
