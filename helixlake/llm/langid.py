@@ -15,11 +15,14 @@ from helixlake.llm.arrowio import slices, texts
 from helixlake.llm.textkit import U64, mix
 from helixlake.plans.staging import ship
 
-#: Letters of a word that are modelled together; longer runs are cut, so that any text takes bounded memory.
-WORD = 40
-LONGEST = 7  # letters of a piece, the word's begin included
-CACHE_WORDS = 400_000
-_WORDS = re.compile(rf"[^\W\d_]{{1,{WORD}}}")
+#: Learning reads longer runs of letters in parts of so many. Predictions sum over whole runs, of any length.
+LEARNED_RUN = 40
+#: Places whose pieces are looked up together, so that a run of any length takes bounded memory.
+PLACES = 512
+#: Bytes, about, of the words whose probabilities a Python worker keeps; when full, it starts anew.
+CACHE_BYTES = 48 << 20
+_WORDS = re.compile(r"[^\W\d_]+")
+_PARTS = re.compile(rf"[^\W\d_]{{1,{LEARNED_RUN}}}")
 _SCALE = 30.0
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 
@@ -28,11 +31,13 @@ class Pieces:
     """The lower-cased pieces of letters of a public vocabulary, each found by a hash of its letters."""
 
     def __init__(self, pieces: list[str]):
-        self.names = sorted({p for p in (x.lower() for x in pieces) if 0 < len(p) <= LONGEST and (p.lstrip("▁").isalpha() or p == "▁") and "▁" not in p[1:]})
+        self.names = sorted({p for p in (x.lower() for x in pieces) if p and (p.lstrip("▁").isalpha() or p == "▁") and "▁" not in p[1:]})
+        self.longest = max(map(len, self.names), default=1)
+        wide = PLACES + self.longest + 1
         with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.concatenate(([U64(1)], np.full(WORD + 1, _BASE, U64))), dtype=U64)
+            self.power = np.cumprod(np.concatenate(([U64(1)], np.full(wide, _BASE, U64))), dtype=U64)
             inverse = U64(pow(_BASE, -1, 1 << 64))
-            self.inverse = np.cumprod(np.concatenate(([U64(1)], np.full(WORD + 1, inverse, U64))), dtype=U64)
+            self.inverse = np.cumprod(np.concatenate(([U64(1)], np.full(wide, inverse, U64))), dtype=U64)
         self.bits = 20
         keys = np.asarray([self._hash(p) for p in self.names], U64)
         self.key = np.zeros(1 << self.bits, U64)
@@ -49,20 +54,23 @@ class Pieces:
         with np.errstate(over="ignore"):
             return mix(np.asarray([sum(ord(c) * int(w) for c, w in zip(p, self.power.tolist(), strict=False)) & (2**64 - 1)], U64) + U64(len(p)))[0]
 
-    def find(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Lengths with the begin mark, and for n = 1.. the ids of the pieces of n letters at each place (0: none)."""
+    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths with the begin mark, and the words' letters with it as numbers, a row each, 0 after the end."""
         lengths = np.asarray([len(w) + 1 for w in words])
         wide = int(lengths.max())
-        codes = np.zeros((len(words), wide), U64)
+        codes = np.zeros((len(words), wide), np.uint32)
         codes[:, 0] = ord("▁")
-        flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        mask = np.arange(wide - 1) < (lengths - 1)[:, None]
-        codes[:, 1:][mask] = flat
-        sums = np.zeros((len(words), wide + 1), U64)
+        codes[:, 1:][np.arange(wide - 1) < (lengths - 1)[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        return lengths, codes
+
+    def find(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For n = 1.. the ids of the pieces of n letters at each place of the rows (0: none)."""
+        wide = codes.shape[1]
+        sums = np.zeros((len(codes), wide + 1), U64)
         np.cumsum(codes * self.power[:wide], axis=1, out=sums[:, 1:])
         found = []
         top = (1 << self.bits) - 1
-        for n in range(1, min(LONGEST, wide) + 1):
+        for n in range(1, min(self.longest, wide) + 1):
             h = mix((sums[:, n:] - sums[:, :-n]) * self.inverse[: wide - n + 1] + U64(n))
             at = (h >> U64(64 - self.bits)).astype(np.int64)
             ids = np.where(self.key[at] == h, self.slot[at], 0)
@@ -72,7 +80,7 @@ class Pieces:
             if n == 1:
                 ids[ids == 0] = 1
             found.append(ids)
-        return lengths, found
+        return found
 
 
 class Model:
@@ -89,7 +97,7 @@ class Model:
         alpha = np.zeros((wide + 1, len(lengths), len(self.languages)))
         alpha[0] = 1
         for i in range(1, wide + 1):
-            for n in range(1, min(LONGEST, i) + 1):
+            for n in range(1, min(len(found), i) + 1):
                 alpha[i] += alpha[i - n] * self.scaled[found[n - 1][:, i - n]]
         return alpha
 
@@ -97,11 +105,40 @@ class Model:
         """Each word's log probability by language."""
         out = np.zeros((len(words), len(self.languages)))
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for a in range(0, len(order), 2048):
-            some = order[a : a + 2048]
-            lengths, found = self.pieces.find([words[i] for i in some])
-            alpha = self.forward(lengths, found)
-            out[some] = np.log(alpha[lengths, np.arange(len(some))]) - lengths[:, None] * np.log(_SCALE)
+        start = 0
+        while start < len(order):
+            end = start + 1
+            while end < len(order) and end - start < 2048 and (end - start) * len(words[order[end]]) < 1 << 17:
+                end += 1
+            out[order[start:end]] = self._log_group([words[i] for i in order[start:end]])
+            start = end
+        return out
+
+    def _log_group(self, words: list[str]) -> np.ndarray:
+        """log_words of words of about one length: the forward sums of the last `longest` places only, scaled as they go."""
+        lengths, codes = self.pieces.codes(words)
+        wide, rows = codes.shape[1], self.pieces.longest + 1
+        sums = np.zeros((rows, len(words), len(self.languages)))
+        sums[0] = 1
+        scale, out = np.zeros(sums.shape[1:]), np.zeros(sums.shape[1:])
+        for a in range(0, wide, PLACES):
+            found = self.pieces.find(codes[:, a : a + PLACES + rows - 2])
+            some = [(n, ids, (ids != 0).any(0)) for n, ids in enumerate(found, 1)]
+            for s in range(a, min(a + PLACES, wide)):
+                here = sums[s % rows]
+                done = lengths == s
+                if done.any():
+                    out[done] = np.log(here[done]) + scale[done]
+                for n, ids, has in some:
+                    if s - a < len(has) and has[s - a]:
+                        sums[(s + n) % rows] += here * self.prob[ids[:, s - a]]
+                here[:] = 0
+                if s % 8 == 7:
+                    top = sums.max(0)
+                    sums /= top
+                    scale += np.log(top)
+        done = lengths == wide
+        out[done] = np.log(sums[wide % rows][done]) + scale[done]
         return out
 
 
@@ -113,7 +150,8 @@ def fit(pieces: Pieces, counts: dict[str, Counter], docs: dict[str, float], roun
     size = len(pieces.names) + 2
     prior = np.asarray([docs[g] for g in languages]) / sum(docs.values())
     single = np.asarray([0, 1, *(len(p) == 1 for p in pieces.names)], bool)
-    blocks = [(slice(a, a + 2048), *pieces.find(words[a : a + 2048])) for a in range(0, len(words), 2048)]
+    coded = [(slice(a, a + 2048), *pieces.codes(words[a : a + 2048])) for a in range(0, len(words), 2048)]
+    blocks = [(at, lengths, pieces.find(codes)) for at, lengths, codes in coded]
     model = None
     for _ in range(rounds + 1):
         seen = np.zeros((size, len(languages)))
@@ -124,7 +162,7 @@ def fit(pieces: Pieces, counts: dict[str, Counter], docs: dict[str, float], roun
                 beta = np.zeros_like(alpha)
                 beta[lengths, np.arange(len(lengths))] = 1
                 for i in range(wide - 1, -1, -1):
-                    for n in range(1, min(LONGEST, wide - i) + 1):
+                    for n in range(1, min(len(found), wide - i) + 1):
                         beta[i] += beta[i + n] * model.scaled[found[n - 1][:, i]]
                 share = weight[at] / beta[0]
             for n, ids in enumerate(found, 1):
@@ -153,9 +191,11 @@ def _predict(model: Model, names: list[str]):
                 words = [_WORDS.findall(t.lower()) for t in texts(part)]
                 known = state.setdefault("known", {})
                 new = {w for w in set().union(*words) if w not in known}
-                if len(known) + len(new) > CACHE_WORDS or "logs" not in state:
+                state["bytes"] = state.get("bytes", CACHE_BYTES) + sum(map(len, new)) * 2 + len(new) * (180 + 8 * groups)
+                if state["bytes"] > CACHE_BYTES:
                     known = state["known"] = {}
                     state["logs"] = np.zeros((0, groups))
+                    state["bytes"] = 0
                     new = set().union(*words)
                 if new:
                     new = list(new)
@@ -181,17 +221,18 @@ def train(docs: DataFrame, vocabulary: list[str], per_language: int = 500) -> Mo
     """A model from docs (doc_id, text, lang), without null languages or texts; None if nothing is left.
 
     It is fitted on about `per_language` documents of each language (all, where there are fewer), chosen by a hash of
-    doc_id: the only bound of this operator, and independent of the input's size.
+    doc_id: the only bound of this operator, and independent of the input's size. Their runs of letters are read in parts of
+    LEARNED_RUN. The model has all lower-cased pieces of letters that the vocabulary has.
     """
-    docs = docs.filter("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
+    docs = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
+    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r[0]: r[1] for r in found.collect()}  # a row for each language
     if not sizes:
         return None
     share = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) / 1e6
-    most = F.coalesce(*[F.when(F.col("lang") == g, F.lit(min(1.0, per_language / n))) for g, n in sizes.items()])
     counts: dict[str, Counter] = {g: Counter() for g in sizes}
-    for r in docs.filter(share < most).select("lang", "text").toLocalIterator():
-        counts[r.lang].update(_WORDS.findall(r.text.lower()))
+    for r in docs.join(F.broadcast(found), "lang").filter(share * F.col("n") < per_language).select("lang", "text").toLocalIterator():
+        counts[r.lang].update(_PARTS.findall(r.text.lower()))
     return fit(Pieces(vocabulary), counts, sizes)
 
 
