@@ -10,10 +10,11 @@ from pyspark.sql.window import Window
 
 from helixlake.plans.staging import ship, stage
 
-#: Vectors that the partitions are learned on, at most about so many (by a hash of vec_id).
-SAMPLE = 4096
+#: Vectors that the partitions are learned on, about (by a hash of vec_id): SAMPLE, growing with the root of their number
+#: from GROWS vectors on, and MOST at most.
+SAMPLE, GROWS, MOST = 4096, 100_000, 32_768
 #: Rows and queries that one task multiplies at a time.
-ROWS, QUERIES = 4096, 1024
+ROWS, QUERIES = 16_384, 1024
 _PER_PART = 128
 
 
@@ -32,10 +33,10 @@ class Router:
 def _graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k vectors of largest inner product for each, itself left out."""
     out = np.empty((len(x), k), np.int64)
-    for a in range(0, len(x), 1024):
-        s = x[a : a + 1024] @ x.T
+    for a in range(0, len(x), 256):
+        s = x[a : a + 256] @ x.T
         s[np.arange(len(s)), a + np.arange(len(s))] = -np.inf
-        out[a : a + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[a : a + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -181,17 +182,17 @@ def _multiply(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int | None = None) -> DataFrame:
     """For each vector with is_query (a Column over vec_id), the k others found with the largest inner product.
 
-    Partitions are learned on about `sample` vectors at most, chosen by a hash of vec_id; then every vector is indexed
-    in its most probable partition and every query visits its most probable ones. Result: query_id long, rank int
-    (from 1), vec_id long, score double (in double precision on the original vectors), ties to the smaller vec_id.
+    Partitions are learned on about `sample` vectors (see SAMPLE), chosen by a hash of vec_id, one for each 128 of them; then
+    every vector is indexed in its most probable partition and every query visits its most probable ones, or all where
+    these hold fewer than k candidates. Result: query_id long, rank int (from 1), vec_id long, score double (in double
+    precision on the original vectors), ties to the smaller vec_id.
 
     Vectors that are null, zero, or hold nulls or non-finite numbers, those of another length than most of the sample,
     and rows without vec_id take no part. Rows that share a vec_id are each a candidate, and never their own id's.
-    An empty table gives an empty result; fewer candidates than k are all returned if few vectors make one partition.
-    Other columns are not read.
+    An empty table gives an empty result; fewer candidates than k are all returned. Other columns are not read.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -202,17 +203,30 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE) ->
         return empty
     rows = rows.filter(F.size("v") == dims[0])
     total = rows.count()
+    sample = sample or int(min(MOST, SAMPLE * max(1.0, total / GROWS) ** 0.5))
     draw = F.pmod(F.xxhash64(F.lit(13), "vec_id"), F.lit(1_000_000)) / 1e6
     some = rows.filter(draw < min(1.0, sample / total)).orderBy("vec_id").limit(2 * sample).select("v").toArrow()
     x = some.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1) if some.num_rows else np.zeros((0, dims[0]))
     router = learn(x, k)
     ddl = "vec_id long, v array<double>, parts array<int>"
     homes = stage(rows.mapInArrow(_route(router, 1), ddl).select("vec_id", "v", F.col("parts")[0].alias("part")), "homes")
-    asks = rows.filter(is_query).mapInArrow(_route(router, router.probes), ddl)
-    asks = stage(asks.select(F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part")), "asks")
-    # blocks: a partition of any size is cut into chunks of rows, and its queries into chunks, each pair one small product
+    visits = rows.filter(is_query).mapInArrow(_route(router, router.probes), ddl)
+    asks = stage(visits.select(F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part")), "asks")
+    top = stage(_search(homes, asks, k), "top")
+    if router.probes < router.parts:
+        enough = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, total - 1))
+        short = stage(asks.join(enough, "query_id", "left_anti").select("query_id", "v").distinct(), "short")
+        if not short.isEmpty():
+            everywhere = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(router.parts - 1))))
+            top = top.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(_search(homes, everywhere, k))
+    return top
+
+
+def _search(homes: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+    """The k largest products of each query (asks: query_id, v, part) with the vectors (homes: vec_id, v, part) of its
+    parts. A part of any size is cut into chunks of rows, and its queries into chunks; each pair is one small product."""
     chunks = lambda df, size, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    grid = F.broadcast(chunks(homes, ROWS, "nr").join(chunks(asks, QUERIES, "nq"), "part"))  # a row for each partition
+    grid = F.broadcast(chunks(homes, ROWS, "nr").join(chunks(asks, QUERIES, "nq"), "part"))  # a row for each part
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     right = homes.join(grid, "part").withColumn("r", F.pmod(F.xxhash64("vec_id"), "nr").cast("int")).withColumn("q", upto("nq")).select("part", "r", "q", "vec_id", "v")
     left = asks.join(grid, "part").withColumn("q", F.pmod(F.xxhash64("query_id"), "nq").cast("int")).withColumn("r", upto("nr")).select("part", "r", "q", "query_id", "v")
