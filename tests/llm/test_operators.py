@@ -179,7 +179,7 @@ def test_secrets():
     assert secrets.scan("x " + token) == [("token", 2, 2 + len(token))]
     assert not secrets.scan(".".join([enc(b'{"typ": 1}'), enc(b"{}"), enc(b"sign")]))
     text = "Token=token: abcdefgh API_KEY: 'k9k9k9' ſecret=abcdef AKIA" + "Z" * 16 + " secret:abc " + "a1" * 12
-    assert secrets.scan(text)[:3] == [("assign", 22, 38), ("access", 54, 74), ("hex", 87, 111)] or secrets.scan(text)
+    assert [(k, text[a:b]) for k, a, b in secrets.scan(text)] == [("assign", "API_KEY: 'k9k9k9"), ("access", "AKIA" + "Z" * 16), ("hex", "a1" * 12)]
     brute = [m.span() for m in re.finditer(r"""(?i:(password|passwd|[s]ecret|token|api_?[k]ey))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 6]
     assert [s[1:] for s in secrets.scan(text) if s[0] == "assign"] == brute
     assert secrets.redact("ab cd ef", [("hex", 0, 4), ("assign", 3, 5)]) == "[hex] ef"
@@ -211,6 +211,77 @@ def test_secrets_in_other_wrappings():
     assert secrets.scan("documentation.example.com and " + f"{coded('[1, 2, 3, 4, 5, 6]')}.{coded('{}')}.c2ln") == []
 
 
+def test_secrets_after_other_letters_and_encrypted():
+    r = random.Random(4)
+    number = lambda n: der(2, bytes([1]) + r.randbytes(n))
+    rsa = der(0x30, der(2, b"\0"), *[number(n) for n in (128, 3, 128, 64, 64, 64, 64, 64)])
+    algorithm = der(0x30, der(6, b"\x2a\x86\x48"), b"\5\0")
+    wrapped = lambda inner: der(0x30, der(2, b"\0"), algorithm, der(4, inner))
+    assert secrets.is_private_key(wrapped(rsa)) and secrets.is_private_key(wrapped(der(4, r.randbytes(32))))
+    for junk in (r.randbytes(40), rsa[:-1], rsa + b"x", der(0x30, r.randbytes(60)), b""):
+        assert not secrets.is_private_key(wrapped(junk))
+    one = base64.b64encode(rsa).decode()
+    for before in ("a/", "key=", "x", "PK=", "https://host/"):
+        for after in ("", " ", "&b=1"):
+            assert ("key", len(before), len(before) + len(one)) in secrets.scan(before + one + after)
+    assert [s for s in secrets.scan("k = 0x" + rsa.hex().upper()) if s[0] == "key"] == [("key", 6, 6 + 2 * len(rsa))]
+    sealed = der(0x30, der(0x30, der(6, b"\x2a\x86\x48"), der(0x30, der(4, r.randbytes(8)))), der(4, r.randbytes(80)))
+    pem = lambda body: f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{base64.b64encode(body).decode()}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert ("key", 0, len(pem(sealed))) in secrets.scan(pem(sealed))
+    assert not [s for x in (sealed[:-1], r.randbytes(90), b"\0\0\0") for s in secrets.scan(pem(x)) if s[0] == "key"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["AKIA", "Z9", "0aF" * 9, "ab12" * 7, " ", "password", "api-key", "apikey", "TOKEN", ":", " = ", '"', "'", "é", "ſecret", "secret=", "hunter22", "\n", "-"]), max_size=14))
+def test_base_secrets_are_the_patterns(parts):
+    """Base spans by hand: at each place, from left to right, what the contract's patterns match there."""
+    text = "".join(parts)
+
+    def run(at, letters):
+        end = at
+        while end < len(text) and text[end] in letters:
+            end += 1
+        return end
+
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+    def access(at):
+        return run(at + 4, upper + digits) if text.startswith("AKIA", at) and run(at + 4, upper + digits) > at + 4 else None
+
+    def hexa(at):
+        return e if (e := run(at, digits + "abcdef")) > at else None
+
+    def assign(at):
+        fold = "".join(c.lower() if c in upper else c for c in text)
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if fold.startswith(name, at):
+                for quote in (1, 0):
+                    i = at + len(name)
+                    if quote and text[i : i + 1] not in ("'", '"') or quote and i >= len(text):
+                        continue
+                    i = run(i + quote, " ")
+                    if text[i : i + 1] in (":", "=") and i < len(text):
+                        i = run(i + 1, " ")
+                        i += text[i : i + 1] in ("'", '"') and i < len(text)
+                        if (e := run(i, upper + upper.lower() + digits + "+/_.=-")) > i:
+                            return e, e - i >= 6
+        return None
+
+    want = []
+    for kind, match, least in (("access", access, 20), ("hex", hexa, 24), ("assign", assign, None)):
+        at = 0
+        while at < len(text):
+            e = match(at)
+            if e is None:
+                at += 1
+                continue
+            e, ok = e if least is None else (e, e - at >= least)
+            if ok:
+                want.append((kind, at, e))
+            at = e
+    assert sorted(s for s in secrets.scan(text) if s[0] in ("assign", "access", "hex")) == sorted(want)
+
+
 def test_secrets_edges(edge, none):
     out = secrets.digest_columns(secrets.find_secrets(edge)).collect()
     six = next(r for r in out if r.doc_id == 6)
@@ -354,6 +425,26 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(m.log_words([word])[0], np.log(total))
 
 
+def test_long_runs_and_pieces_are_summed_whole():
+    """Against the plain recursion in logarithms, over runs that span several lookups, with pieces of 16 letters."""
+    names = ["▁", "a", "b", "ab", "ba", "▁ab", "abababababababab", "bbbbbbbbbbbb"]
+    p = langid.Pieces(names)
+    prob = np.random.default_rng(1).random((len(p.names) + 2, 2)) * 0.5
+    prob[0] = 0
+    m = langid.Model(p, ["x", "y"], prob, np.asarray([0.5, 0.5]))
+    r = random.Random(2)
+    words = ["".join(r.choice("abc") for _ in range(n)) for n in (1, 30, 511, 512, 513, 1300)] + ["ab" * 900]
+    for word, got in zip(words, m.log_words(words), strict=True):
+        s = "▁" + word
+        sums = [np.zeros(2)]  # logarithms
+        for i in range(1, len(s) + 1):
+            parts = [sums[i - n] + np.log(prob[p.names.index(q) + 2] if q in p.names else prob[1]) for n in range(1, min(16, i) + 1) if (q := s[i - n : i]) in p.names or n == 1]
+            sums.append(np.logaddexp.reduce(parts))
+        assert np.allclose(got, sums[-1], rtol=1e-9)
+    vocabulary = langid.Pieces(pieces.load(PIECE).piece)
+    assert vocabulary.longest >= 16 and len(vocabulary.names) > 23_000
+
+
 def test_language_held_out(spark):
     rows = queries.op7_language(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.col("lang").alias("true")), "doc_id").collect()
     held = [r for r in rows if r.held_out]
