@@ -10,10 +10,15 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="helixlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -29,7 +34,7 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
+def unstage(df: DataFrame | None) -> None:
     """Delete the files of a staged table that no later step reads."""
     path = getattr(df, "_staged_at", None)
     if path:
@@ -54,3 +59,5 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(to)
     sc._helixlake_shipped = True
+    if spark.conf.get(_BATCH) == "10000":  # unless the user set it: smaller batches bound what Python tasks hold of long texts
+        spark.conf.set(_BATCH, "2000")
