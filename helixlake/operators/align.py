@@ -32,21 +32,31 @@ def exact_starts(alignments: DataFrame, k: int) -> DataFrame:
     return runs.select("aln", F.explode(F.sequence(F.col("a"), F.col("b") - k)).alias("p"))
 
 
+def place(alignments: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Alignments with the contig_id and start of the contig that qname names; those of no such contig go."""
+    return alignments.join(contigs.select(F.col("name").alias("qname"), "contig_id", F.col("start").alias("offset")), "qname")
+
+
 def concordance(alignments: DataFrame, positions: DataFrame, k: int) -> DataFrame:
-    """Counts over query positions (p, valid, present, mult): exact by some alignment and present; inside a primary
-    alignment (tp = P) that is not exact there, with no other exact one; the single-copy ones of these; not covered."""
-    exact = exact_starts(alignments, k).select("p").distinct().withColumn("exact", F.lit(True))
-    # the last primary alignment over a position tells whether its window there is broken
-    primary = alignments.filter("tp = 'P' and cigar is not null").select("aln", F.explode(F.sequence(F.col("qstart"), F.col("qend") - 1)).alias("p"), "qend")
-    starts = exact_starts(alignments, k).withColumn("ok", F.lit(True))
-    state = primary.join(starts, ["aln", "p"], "left").filter(F.col("p") + k <= F.col("qend")).groupBy("p").agg(F.max_by(F.coalesce("ok", F.lit(False)), "aln").alias("last_ok"))
-    covered = primary.select("p").distinct().withColumn("covered", F.lit(True))
-    all_ = positions.join(exact, "p", "left").join(state, "p", "left").join(covered, "p", "left")
+    """Counts over query positions (contig_id, lpos, valid, present, mult) against alignments (aln, contig_id, qstart, qend,
+    strand, cigar, tp), both contig-local.
+
+    A position is exact if its k-mer lies in one stretch of matches of any alignment. It is broken if it is not exact and
+    the last primary alignment (tp = P, largest aln) that holds its whole k-mer is not exact there; uncovered if no primary
+    alignment holds it. Exact, broken and uncovered positions are told apart by presence, broken ones by single copy too.
+    """
+    starts = exact_starts(alignments, k).join(alignments.select("aln", "contig_id"), "aln")
+    starts = starts.select("aln", "contig_id", F.col("p").alias("lpos"))
+    exact = starts.select("contig_id", "lpos").distinct().withColumn("exact", F.lit(True))
+    main = alignments.filter("tp = 'P' and cigar is not null and qstart < qend").select("aln", "contig_id", F.explode(F.sequence(F.col("qstart"), F.col("qend") - 1)).alias("lpos"), "qend")
+    told = main.join(starts.withColumn("ok", F.lit(True)), ["aln", "contig_id", "lpos"], "left")
+    whole = F.col("lpos") + k <= F.col("qend")
+    state = told.groupBy("contig_id", "lpos").agg(F.max_by(F.when(whole, F.coalesce("ok", F.lit(False))), F.when(whole, F.col("aln"))).alias("last"), F.lit(True).alias("covered"))
+    each = positions.join(exact, ["contig_id", "lpos"], "left").join(state, ["contig_id", "lpos"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    valid, present = F.col("valid"), F.col("present")
-    a = yes("exact") & valid
-    b = yes("covered") & (F.col("last_ok") == F.lit(False)) & ~yes("exact") & valid
-    b = F.coalesce(b, F.lit(False))
-    c = ~yes("covered") & valid
-    n = F.count_if
-    return all_.agg(n(valid).alias("valid"), n(a).alias("exact"), n(a & present).alias("exact_present"), n(b).alias("broken"), n(b & present).alias("broken_present"), n(b & (F.col("mult") == 1)).alias("broken_single"), n(b & (F.col("mult") == 1) & present).alias("broken_single_present"), n(c).alias("uncovered"), n(c & present).alias("uncovered_present"), n(valid & present).alias("present"))
+    valid, present, one = yes("valid"), yes("present"), F.col("mult") == 1
+    a = valid & yes("exact")
+    b = valid & ~yes("exact") & F.coalesce(~F.col("last"), F.lit(False))
+    c = valid & ~yes("covered")
+    tests = {"valid": valid, "present": valid & present, "exact": a, "exact_present": a & present, "broken": b, "broken_present": b & present, "broken_single": b & one, "broken_single_present": b & one & present, "uncovered": c, "uncovered_present": c & present}
+    return each.agg(*[F.count_if(x).alias(n) for n, x in tests.items()])

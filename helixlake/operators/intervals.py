@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,3 +72,21 @@ def largest(intervals: DataFrame, least: int = 0) -> DataFrame:
     size = F.col("end") - F.col("start")
     best = F.max(F.struct(size.alias("size"), (-F.col("contig_id")).alias("c"), (-F.col("ord")).alias("o"), "contig_id", "start", "end")).alias("x")
     return intervals.filter(size > least).groupBy("class").agg(best).select("class", "x.contig_id", "x.start", "x.end")
+
+
+def spotlights(intervals: DataFrame, contigs: DataFrame, fixed: Sequence[tuple[str, str, int, int]] = (), blocks: Sequence[str] = (), edges: Sequence[str] = (), flank: int = 150_000, pad: int = 50_000, longest: int = 400_000) -> DataFrame:
+    """Regions worth a closer look, (id, contig_id, start, end), cut to their contigs.
+
+    fixed are (id, contig name, start, end). For each class of blocks: flank to both sides of the middle of its longest
+    interval, or less where that with pad around is shorter. For each of edges: flank to both sides of its start. Last
+    comes the longest joined duplication (class SD), of which `longest` bases at most.
+    """
+    top = largest(intervals)
+    mid, half = F.expr("(start + end) div 2"), F.least(F.lit(flank), F.expr(f"(end - start) div 2 + {pad}"))
+    block = top.filter(F.col("class").isin(list(blocks))).select(F.concat("class", F.lit("_block")).alias("id"), "contig_id", (mid - half).alias("start"), (mid + half).alias("end"))
+    edge = top.filter(F.col("class").isin(list(edges))).select(F.concat("class", F.lit("_edge")).alias("id"), "contig_id", (F.col("start") - flank).alias("start"), (F.col("start") + flank).alias("end"))
+    joined = merge(intervals.filter("class = 'SD'")).withColumns({"class": F.lit("SD"), "ord": F.col("start")})
+    dup = largest(joined).select(F.lit("sd_largest").alias("id"), "contig_id", "start", F.least("end", F.col("start") + longest).alias("end"))
+    named = contigs.sparkSession.createDataFrame(list(fixed), "id string, name string, start long, end long")
+    named = contigs.select("name", "contig_id").join(F.broadcast(named), "name").select("id", "contig_id", "start", "end")
+    return clip(named.unionByName(block).unionByName(edge).unionByName(dup), contigs)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.functions.sequence import reverse_complement
+from helixlake.plans.staging import ship
 
 #: Positions in a chunk: the unit of parallel work, whatever a contig's length.
 CHUNK = 4096
@@ -15,37 +18,81 @@ LONGEST = 1 << 24
 
 
 def chunks(contigs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
-    """Contigs cut into pieces of `chunk` k-mer starts, each with the k - 1 bases after it, in both directions."""
+    """Contigs cut into pieces of `chunk` k-mer starts, each with the k - 1 bases after it."""
     fits = contigs.filter(F.col("len") >= k)
     cut = fits.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - k, F.lit(chunk).cast("long"))))
     piece = F.substring(F.col("seq"), (F.col("a") + 1).cast("int"), F.lit(chunk + k - 1))
-    cut = cut.select("genome", "contig_id", "start", "a", piece.alias("f"))
-    return cut.withColumn("r", reverse_complement(F.col("f"))).withColumn("n", F.length("f").cast("long"))
+    return cut.select("genome", "contig_id", "start", "a", piece.alias("f"))
 
 
-def _key(f: Column, r: Column, k: int) -> Column:
-    canonical = F.least(f, r)
-    if k <= EXACT:
-        return canonical
-    return F.struct(F.xxhash64(canonical).alias("x"), F.xxhash64(F.lit("s"), canonical).alias("y"))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def window_hashes(codes: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """64-bit hashes of all windows of k codes, by doubling: a hash of 2w codes is made of two of w, so each window costs
+    the binary logarithm of k, not k. Windows of k are put together from those of the powers of two in k."""
+    power = _mix(codes.astype(np.uint64) + np.uint64(seed * 4 + 1))
+    n, width, done, out = len(codes) - k + 1, 1, 0, None
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    while True:
+        if k & width:
+            part = power[done : done + n]
+            out = part if out is None else _mix(out * factor + part)
+            done += width
+        if width * 2 > k:
+            return out
+        power = _mix(power[:-width] * factor + power[width:])
+        width *= 2
+
+
+def _long_keys(k: int, stride: int):
+    letter = np.full(256, 4, np.uint8)
+    letter[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+    def run(batches):
+        for batch in batches:
+            for g, c, start, a, f in zip(*(batch.column(x).to_pylist() for x in ("genome", "contig_id", "start", "a", "f")), strict=True):
+                codes = letter[np.frombuffer(f, np.uint8)]
+                bad = np.concatenate(([0], np.cumsum(codes == 4)))
+                n = len(codes) - k + 1
+                at = np.arange(-(start + a) % stride, n, stride)
+                at = at[bad[at + k] == bad[at]]
+                if not len(at):
+                    continue
+                back = (3 - codes)[::-1]
+                x, y = (window_hashes(codes, k, s)[at] for s in (1, 2))
+                u, v = (window_hashes(back, k, s)[n - 1 - at] for s in (1, 2))
+                turned = (u < x) | ((u == x) & (v < y))
+                key = pa.StructArray.from_arrays([pa.array(np.where(turned, u, x).view(np.int64)), pa.array(np.where(turned, v, y).view(np.int64))], ["x", "y"])
+                same = lambda v, m=len(at): pa.array([v]).take(pa.array(np.zeros(m, np.int32)))
+                yield pa.RecordBatch.from_arrays([same(g), same(c), pa.array(a + at), pa.array(start + a + at), key], names=["genome", "contig_id", "lpos", "pos", "key"])
+
+    return run
 
 
 def kmers(contigs: DataFrame, k: int, stride: int = 1, chunk: int = CHUNK) -> DataFrame:
     """(genome, contig_id, lpos, pos, key) of each k-mer without N that starts at a multiple of `stride` in its genome.
 
-    A k-mer and its reverse complement have one key: the smaller of both (k up to EXACT), or a 128-bit hash of it.
-    The strided positions are generated, not filtered.
+    A k-mer and its reverse complement have one key: the smaller of both (k up to EXACT), or the smaller of their 128-bit
+    hashes, whose cost grows with the logarithm of k. The strided positions are generated, not filtered.
     """
     if not 1 <= k <= LONGEST or stride < 1:
         raise ValueError(f"k must be from 1 to {LONGEST}, stride 1 or more")
+    if k > EXACT:
+        ship(contigs.sparkSession)
+        pieces = chunks(contigs, k, max(chunk, 4 * k)).select("genome", "contig_id", "start", "a", "f").repartition("genome", "contig_id", "a")
+        return pieces.mapInArrow(_long_keys(k, stride), "genome string, contig_id long, lpos long, pos long, key struct<x:long,y:long>")
     c = chunks(contigs, k, chunk).repartition("genome", "contig_id", "a")
+    c = c.withColumn("r", reverse_complement(F.col("f"))).withColumn("n", F.length("f").cast("long"))
     first = F.pmod(-(F.col("start") + F.col("a")), F.lit(stride))
     last = F.col("n") - k
     c = c.filter(first <= last).withColumn("p", F.explode(F.sequence(first, last, F.lit(stride).cast("long"))))
     f = F.substring(F.col("f"), (F.col("p") + 1).cast("int"), F.lit(k))
     r = F.substring(F.col("r"), (F.col("n") - F.col("p") - k + 1).cast("int"), F.lit(k))
     c = c.select("genome", "contig_id", (F.col("a") + F.col("p")).alias("lpos"), (F.col("start") + F.col("a") + F.col("p")).alias("pos"), f.alias("w"), r.alias("v"))
-    return c.filter(~F.contains(F.col("w"), F.lit(b"N"))).select("genome", "contig_id", "lpos", "pos", _key(F.col("w"), F.col("v"), k).alias("key"))
+    return c.filter(~F.contains(F.col("w"), F.lit(b"N"))).select("genome", "contig_id", "lpos", "pos", F.least("w", "v").alias("key"))
 
 
 def multiplicities(rows: DataFrame) -> DataFrame:

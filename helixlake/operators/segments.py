@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helixlake.functions.sequence import has_bit
+from helixlake.operators.intervals import within
 
 #: Positions that one window group orders; runs are joined across its edges afterwards.
 BLOCK = 1 << 20
@@ -57,7 +58,7 @@ def ultraconserved(runs: DataFrame, contigs: DataFrame, subjects: Sequence[str],
 def segment_kinds(segments: DataFrame, rows: DataFrame) -> DataFrame:
     """Segments with dist_end (to the nearer contig end), the median multiplicity of their positions, and kind: single
     where that is 1, telomeric where it is the cap."""
-    span = segments.select(F.col("contig_id").alias("_c"), "start", "end", F.least("start", F.col("length") - F.col("end")).alias("dist_end"))
-    inside = rows.join(span, (F.col("contig_id") == F.col("_c")) & (F.col("lpos") >= F.col("start")) & (F.col("lpos") < F.col("end")))
+    spans = segments.select("contig_id", "start", "end", F.struct("start", "end", F.least("start", F.col("length") - F.col("end")).alias("dist_end")).alias("id"))
+    inside = within(rows.select("contig_id", "lpos", "mult"), spans).select("contig_id", "id.*", "mult")
     out = inside.groupBy("contig_id", "start", "end", "dist_end").agg(F.percentile("mult", 0.5).alias("median_copies"))
     return out.withColumn("kind", F.when(F.col("median_copies") >= 255, "telomeric").when(F.col("median_copies") == 1, "single_copy").otherwise("repeated"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.operators.kmers import EXACT, kmers, spectrum
+from helixlake.plans.staging import stage
 
 CAP = 255
 #: Distinct query k-mers up to which the small-query plan broadcasts them.
@@ -26,7 +27,7 @@ def _bits(subjects: Sequence[str]):
     return bit
 
 
-def tagged(contigs: DataFrame, query: str, subjects: Sequence[str], k: int, own: bool = True) -> DataFrame:
+def tagged(contigs: DataFrame, query: str, subjects: Sequence[str], k: int) -> DataFrame:
     """(key, mult_full, pres) of each distinct query k-mer: one aggregation over the k-mers of all genomes, whose
     partial sums take the copies of frequent k-mers together before the exchange."""
     rows = kmers(contigs.filter(F.col("genome").isin(query, *subjects)), k)
@@ -46,7 +47,7 @@ def strata(contigs: DataFrame, query: str, subjects: Sequence[str], k: int, stri
     at = kmers(contigs.filter(F.col("genome") == query), k, stride).drop("genome")
     if small_query:
         everywhere = kmers(contigs.filter(F.col("genome") == query), k)
-        counts = everywhere.groupBy("key").agg(F.count(F.lit(1)).alias("mult_full"))
+        counts = stage(everywhere.groupBy("key").agg(F.count(F.lit(1)).alias("mult_full")), "counts")
         few = counts.count() <= BROADCAST_KEYS
         build = F.broadcast(counts.select("key")) if few else counts.select("key")
         found = kmers(contigs.filter(F.col("genome").isin(*subjects)), k).select("key", _bits(subjects).alias("bit")).join(build, "key", "left_semi")

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from helixlake.functions.sequence import CLASSES, LINEAGES, age_index, age_label, copy_bin, has_any, has_bit, mask_of
 
@@ -114,6 +115,20 @@ def pyramid(rows: DataFrame, contigs: DataFrame, subjects: Sequence[str], width:
     return reduce(DataFrame.unionByName, out)
 
 
+def level_offsets(contigs: DataFrame, width: int = 1000, levels: int = 3) -> DataFrame:
+    """(contig_id, name, length, n0, n1, ..., offset): each contig's windows at every level of the pyramid, and where its
+    first window of the widest level is when all contigs' windows lie one after another."""
+    counts = [F.expr(f"(len + {width * 10**i - 1}) div {width * 10**i}").alias(f"n{i}") for i in range(levels)]
+    one = contigs.select("contig_id", "name", F.col("len").alias("length"), *counts)
+    order = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    last = f"n{levels - 1}"
+    one = one.withColumn("span", F.floor(F.col("contig_id") / 4096))
+    spans = one.groupBy("span").agg(F.sum(last).alias("n")).select("span", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    within = Window.partitionBy("span").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = one.withColumn("inner", F.coalesce(F.sum(last).over(within), F.lit(0))).join(spans, "span")
+    return placed.select("contig_id", "name", "length", *[f"n{i}" for i in range(levels)], (F.col("base") + F.col("inner")).alias("offset"))
+
+
 def ratios(table: DataFrame, subjects: Sequence[str]) -> DataFrame:
     """(class, subject, share) of a class table: what heat maps and curves draw."""
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), F.try_divide(F.col(f"shared_{s}").cast("double"), F.col("valid_positions").cast("double")).alias("share")) for s in subjects])).alias("x")

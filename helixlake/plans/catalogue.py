@@ -6,22 +6,26 @@ takes part. chm13 is the query, the other seven are its subjects.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.functions.sequence import CLASSES, COPY_BINS, FAMILIES, LINEAGES, region_class
+from helixlake.functions.sequence import CLASSES, COPY_BINS, FAMILIES, LINEAGES, has_bit, region_class, share
 from helixlake.operators import align, arrays, intervals, ladder, segments, strata, summaries
 from helixlake.operators.kmers import kmers, spectrum
-from helixlake.sources.genome import from_texts, index
+from helixlake.plans.staging import shared_root
+from helixlake.sources import sinks
+from helixlake.sources.genome import from_texts, index, only, prepared, read_bed, read_fasta, read_paf
 from helixlake.sources.randgen import random_genome
 
 QUERY = "chm13"
 SUBJECTS = ["hg002", "chimp", "bonobo", "gorilla", "borang", "sorang", "siamang"]
 GENOMES = [QUERY, *SUBJECTS]
-LADDER = [16, 21, 31, 61, 101]
+#: Full runs are sampled at every eighth position; 31 is what shares and divergence are told at.
+LADDER, STRIDE = sorted({*ladder.RUN_LADDER, 31}), 8
 #: Annotation of a contig of length L: class, and its span as fractions (numerator, denominator), painted in this order.
 PAINT = [("SD", (1, 5), (1, 2)), ("ct", (2, 5), (3, 5)), ("hor_active", (1, 2), (11, 20)), ("hor_active", (3, 5), (13, 20)), ("hsat3", (4, 5), (9, 10))]
 
@@ -53,9 +57,13 @@ def _strata(spark, d, k, letters=False, **kw):
     return c, strata.strata(c, QUERY, SUBJECTS, k, **kw)
 
 
+def _paint(c, rows):
+    return intervals.paint(rows, intervals.disjoint(annotation(query_contigs(c))))
+
+
 def _painted(spark, d, k=21, **kw):
     c, rows = _strata(spark, d, k, **kw)
-    return c, intervals.paint(rows, intervals.disjoint(annotation(query_contigs(c))))
+    return c, _paint(c, rows)
 
 
 def _cells(spark, d, k=21, **kw):
@@ -80,12 +88,31 @@ def sql_kmers(k: int, name: str = "K", of: str = "O") -> str:
  (SELECT genome, contig_id, start, lpos, substr(s, lpos + 1, {k}) AS w FROM (SELECT genome, contig_id, start, s, unnest(range(0, len - {k} + 1)) AS lpos FROM {of} WHERE len >= {k})) WHERE NOT contains(w, 'N'))"""
 
 
-def sql_strata(k: int, letters_only: bool = False, suffix: str = "", head: bool = True) -> str:
+def sql_ladder(ks: list[int]) -> str:
+    """Contigs of letters only and their k-mers K<k> for many k. Hashes of 2w letters are made of two of w, on both strands, and
+    those of k letters of the powers of two in k, so long k-mers are never cut out of the text."""
+    over, steps = "OVER (PARTITION BY contig_id ORDER BY lpos)", []
+    steps.append("D1 AS (SELECT genome, contig_id, start, len, lpos, hash(c) AS f1, hash(translate(c, 'ACGT', 'TGCA')) AS r1 FROM (SELECT genome, contig_id, start, len, unnest(range(0, len)) AS lpos, unnest(string_split(s, '')) AS c FROM O WHERE len > 0))")
+    w = 1
+    while 2 * w <= max(ks):
+        steps.append(f"D{2 * w} AS (SELECT *, hash(f{w}, lead(f{w}, {w}) {over}) AS f{2 * w}, hash(lead(r{w}, {w}) {over}, r{w}) AS r{2 * w} FROM D{w})")
+        w *= 2
+    steps.append(f"D AS MATERIALIZED (SELECT * FROM D{w})")
+    for k in ks:
+        forward, back, at = [], [], 0
+        for p in (1 << i for i in range(k.bit_length()) if k >> i & 1):
+            forward.append(f"lead(f{p}, {at}) {over}")
+            back.append(f"lead(r{p}, {k - at - p}) {over}")
+            at += p
+        steps.append(f"K{k} AS (SELECT genome, contig_id, lpos, pos, least(f, r) AS key FROM (SELECT genome, contig_id, len, lpos, start + lpos AS pos, hash({', '.join(forward)}) AS f, hash({', '.join(back)}) AS r FROM D) WHERE lpos + {k} <= len)")
+    return sql_contigs(True) + ",\n" + ",\n".join(steps)
+
+
+def sql_strata(k: int, letters_only: bool = False, suffix: str = "", head: bool = True, made: bool = False, stride: int = 1) -> str:
     bit = "CASE genome " + " ".join(f"WHEN '{s}' THEN {1 << i}" for i, s in enumerate(SUBJECTS)) + " ELSE 0 END"
     x = suffix
-    return (sql_contigs(letters_only) + ",\n" if head else "") + sql_kmers(k, f"K{x}") + f""",
-T{x} AS (SELECT key, count(*) FILTER (WHERE genome = '{QUERY}') AS mf, bit_or({bit}) AS pres FROM K{x} GROUP BY key),
-S{x} AS (SELECT contig_id, lpos, pos, CAST(pres AS BIGINT) AS pres, least(mf, 255) AS mult, mf AS mult_full FROM K{x} JOIN T{x} USING (key) WHERE genome = '{QUERY}')"""
+    return (sql_contigs(letters_only) + ",\n" if head else "") + ("" if made else sql_kmers(k, f"K{x}") + ",\n") + f"""T{x} AS (SELECT key, count(*) FILTER (WHERE genome = '{QUERY}') AS mf, bit_or({bit}) AS pres FROM K{x} GROUP BY key),
+S{x} AS (SELECT contig_id, lpos, pos, CAST(pres AS BIGINT) AS pres, least(mf, 255) AS mult, mf AS mult_full FROM K{x} JOIN T{x} USING (key) WHERE genome = '{QUERY}' AND pos % {stride} = 0)"""
 
 
 def _sql_class(pos: str) -> str:
@@ -95,8 +122,8 @@ def _sql_class(pos: str) -> str:
     return out + f" ELSE '{CLASSES[0]}' END"
 
 
-def sql_painted(k: int, letters_only: bool = False, suffix: str = "", head: bool = True) -> str:
-    return sql_strata(k, letters_only, suffix, head) + f""",
+def sql_painted(k: int, letters_only: bool = False, suffix: str = "", head: bool = True, **kw) -> str:
+    return sql_strata(k, letters_only, suffix, head, **kw) + f""",
 P{suffix} AS (SELECT S{suffix}.*, {_sql_class('lpos')} AS class FROM S{suffix} JOIN O USING (contig_id))"""
 
 
@@ -325,11 +352,13 @@ def window_pyramid(spark, d):
 
 # --- ladder ---------------------------------------------------------------------------------------------------------
 
-_ladder = "WITH " + sql_contigs(True) + ", " + ", ".join(sql_painted(k, True, str(k), False) for k in LADDER) + ", X AS (" + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, class, {', '.join(_cnt(_sql_sharing()[s], s) for s in SUBJECTS)}, count(*) AS valid FROM P{k} GROUP BY class" for k in LADDER) + "), L AS (" + " UNION ALL ".join(f"SELECT k, class, '{s}' AS subject, CAST({s} AS DOUBLE) / valid AS share FROM X" for s in SUBJECTS) + ")"
+_ladder = "WITH " + sql_ladder(LADDER) + ", " + ", ".join(sql_painted(k, True, str(k), False, made=True, stride=STRIDE) for k in LADDER) + ", X AS (" + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, class, {', '.join(_cnt(_sql_sharing()[s], s) for s in SUBJECTS)}, count(*) AS valid FROM P{k} GROUP BY class" for k in LADDER) + "), L AS (" + " UNION ALL ".join(f"SELECT k, class, '{s}' AS subject, CAST({s} AS DOUBLE) / valid AS share FROM X" for s in SUBJECTS) + ")"
 
 
 def _shares(spark, d):
-    table = ladder.over_ladder(LADDER, lambda k: summaries.class_sharing(_cells(spark, d, k, letters=True), SUBJECTS).filter("class <> 'ALL'"))
+    c = prepared(contigs(spark, d, True))
+    cells = lambda k: summaries.cube(_paint(c, strata.strata(c, QUERY, SUBJECTS, k, STRIDE)))
+    table = ladder.over_ladder(LADDER, lambda k: summaries.class_sharing(cells(k), SUBJECTS).filter("class <> 'ALL'"))
     return ladder.curves(table, SUBJECTS)
 
 
@@ -353,29 +382,29 @@ def decay(spark, d):
 
 def _sql_census(bins):
     name = "CASE " + " ".join(f"WHEN n >= {low} THEN '{label}'" for low, label in reversed(bins)) + " END"
-    own = sql_contigs() + ", Q AS (SELECT * FROM O WHERE genome = '" + QUERY + "'), " + ", ".join(sql_kmers(k, f"K{k}", "Q") for k in LADDER)
-    every = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, least(count(*), 1048576) AS n FROM K{k} GROUP BY key" for k in LADDER)
-    return f"WITH {own}, M AS ({every}) SELECT k, {name} AS copies, CAST(sum(n) AS BIGINT) AS positions, round(CAST(sum(n) AS DOUBLE) / (SELECT sum(n) FROM M B WHERE B.k = M.k), 6) AS share FROM M GROUP BY 1, 2"
+    every = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, least(count(*), 1048576) AS n FROM K{k} WHERE genome = '{QUERY}' GROUP BY key" for k in LADDER)
+    return f"WITH {sql_ladder(LADDER)}, M AS ({every}) SELECT k, {name} AS copies, CAST(sum(n) AS BIGINT) AS positions, round(CAST(sum(n) AS DOUBLE) / (SELECT sum(n) FROM M B WHERE B.k = M.k), 6) AS share FROM M GROUP BY 1, 2"
 
 
 @query("q_census", _sql_census(ladder.CENSUS_BINS))
 def census(spark, d):
     """Positions by multiplicity over the ladder."""
-    return ladder.census(contigs(spark, d), QUERY, LADDER)
+    return ladder.census(contigs(spark, d, True), QUERY, LADDER)
 
 
 @query("q_census_fine", _sql_census(ladder.FINE_BINS))
 def census_fine(spark, d):
     """The same in nine bins."""
-    return ladder.census(contigs(spark, d), QUERY, LADDER, ladder.FINE_BINS)
+    return ladder.census(contigs(spark, d, True), QUERY, LADDER, ladder.FINE_BINS)
 
 
-_rungs = " UNION ALL ".join(f"SELECT contig_id, lpos, pres, {i} AS rung FROM S{k}" for i, k in enumerate(LADDER, 1))
-_surv = "WITH " + sql_contigs(True) + ", " + ", ".join(sql_strata(k, True, str(k), False) for k in LADDER) + f", R AS ({_rungs} UNION ALL SELECT contig_id, unnest(range(0, len)) AS lpos, 0 AS pres, 0 AS rung FROM O WHERE genome = '{QUERY}'), B AS (SELECT contig_id, lpos, " + ", ".join(f"coalesce(max(rung) FILTER (WHERE (pres & {1 << i}) <> 0), 0) AS {s}" for i, s in enumerate(SUBJECTS)) + " FROM R GROUP BY contig_id, lpos), V AS (" + " UNION ALL ".join(f"SELECT contig_id, lpos, '{s}' AS subject, CASE WHEN lpos + {LADDER[0]} > len THEN 255 ELSE {s} END AS surv FROM B JOIN O USING (contig_id)" for s in SUBJECTS) + ")"
+RUNGS = ladder.SURVIVAL_LADDER
+_rungs = " UNION ALL ".join(f"SELECT contig_id, lpos, pres, {i} AS rung FROM S{k}" for i, k in enumerate(RUNGS, 1))
+_surv = "WITH " + sql_ladder(RUNGS) + ", " + ", ".join(sql_strata(k, True, str(k), False, made=True) for k in RUNGS) + f", R AS ({_rungs} UNION ALL SELECT contig_id, unnest(range(0, len)) AS lpos, 0 AS pres, 0 AS rung FROM O WHERE genome = '{QUERY}'), B AS (SELECT contig_id, lpos, " + ", ".join(f"coalesce(max(rung) FILTER (WHERE (pres & {1 << i}) <> 0), 0) AS {s}" for i, s in enumerate(SUBJECTS)) + " FROM R GROUP BY contig_id, lpos), V AS (" + " UNION ALL ".join(f"SELECT contig_id, lpos, '{s}' AS subject, CASE WHEN lpos + {RUNGS[0]} > len THEN 255 ELSE {s} END AS surv FROM B JOIN O USING (contig_id)" for s in SUBJECTS) + ")"
 
 
 def _survival(spark, d):
-    return ladder.survival(contigs(spark, d, True), QUERY, SUBJECTS, LADDER)
+    return ladder.survival(prepared(contigs(spark, d, True)), QUERY, SUBJECTS, RUNGS)
 
 
 @query("q_survival", f"{_surv} SELECT contig_id, subject, CAST(surv AS BIGINT) AS surv, count(*) AS n FROM V GROUP BY 1, 2, 3")
@@ -384,10 +413,10 @@ def survival(spark, d):
     return _survival(spark, d).groupBy("contig_id", "subject", "surv").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q_survival_median", f"{_surv}, M AS (SELECT subject, CAST(floor(quantile_cont(surv, 0.5)) AS BIGINT) AS r FROM V WHERE surv <> 255 GROUP BY subject) SELECT subject, CAST(CASE WHEN r >= 1 THEN ([{', '.join(map(str, LADDER))}])[r] ELSE 0 END AS BIGINT) AS median_k FROM M")
+@query("q_survival_median", f"{_surv}, M AS (SELECT subject, CAST(floor(quantile_cont(surv, 0.5)) AS BIGINT) AS r FROM V WHERE surv <> 255 GROUP BY subject) SELECT subject, CAST(CASE WHEN r >= 1 THEN ([{', '.join(map(str, RUNGS))}])[r] ELSE 0 END AS BIGINT) AS median_k FROM M")
 def survival_median(spark, d):
     """Median survival by subject."""
-    return ladder.survival_medians(_survival(spark, d), LADDER)
+    return ladder.survival_medians(_survival(spark, d), RUNGS)
 
 
 @query("q_survival_raster", f"{_surv} SELECT subject, contig_id, lpos // 10 AS bin, round(quantile_cont(CASE WHEN surv <> 255 THEN surv END, 0.5), 6) AS median FROM V GROUP BY 1, 2, 3 HAVING count(*) = 10")
@@ -398,21 +427,23 @@ def survival_raster(spark, d):
 
 # --- segments -------------------------------------------------------------------------------------------------------
 
+#: Documents are short, so long segments are told by k = 61 here, not by the 1,001 that genomes call for.
+SEGMENT_K = 61
 _isl = ", E AS (" + " UNION ALL ".join(f"SELECT '{s}' AS subject, contig_id, lpos, pos // 4 AS ix, pres FROM S WHERE pos % 4 = 0 AND (pres & {1 << i}) <> 0" for i, s in enumerate(SUBJECTS)) + "), F AS (SELECT *, ix - row_number() OVER (PARTITION BY subject, contig_id ORDER BY ix) AS run FROM E), I AS (SELECT subject, contig_id, min(lpos) AS first, max(lpos) AS last, count(*) AS n, bit_and(pres) AS every FROM F GROUP BY subject, contig_id, run)"
 
 
-def _islands(spark, d, k=61):
+def _islands(spark, d, k=SEGMENT_K):
     c, rows = _strata(spark, d, k, True, stride=4)
     return c, rows, segments.islands(rows, SUBJECTS, 4)
 
 
-@query("q_segments", f"WITH {sql_strata(61, True)}{_isl} SELECT * FROM I")
+@query("q_segments", f"WITH {sql_strata(SEGMENT_K, True)}{_isl} SELECT * FROM I")
 def segment_runs(spark, d):
     """Maximal identical segments with each subject, sampled at every fourth position."""
     return _islands(spark, d)[2]
 
 
-_segc = f"WITH {sql_strata(61, True)}{_isl}, C AS (SELECT I.*, {_sql_class('first')} AS class FROM I JOIN O USING (contig_id)), N AS (SELECT subject, class, count(*) AS segments, CAST(sum(n) AS BIGINT) AS positions FROM C GROUP BY 1, 2)"
+_segc = f"WITH {sql_strata(SEGMENT_K, True)}{_isl}, C AS (SELECT I.*, {_sql_class('first')} AS class FROM I JOIN O USING (contig_id)), N AS (SELECT subject, class, count(*) AS segments, CAST(sum(n) AS BIGINT) AS positions FROM C GROUP BY 1, 2)"
 
 
 def _segment_classes(spark, d):
@@ -434,12 +465,12 @@ def top_classes(spark, d):
 
 
 _among = ["siamang", "borang", "sorang", "gorilla", "chimp"]
-_ucs = f"WITH {sql_strata(61, True)}{_isl}, U AS (SELECT I.contig_id, first AS start, last + 61 AS \"end\", last + 61 - first AS len, concat_ws(',', " + ", ".join(f"CASE WHEN (every & {_mask(s)}) <> 0 THEN '{s}' END" for s in _among) + ") AS \"in\", greatest(first - 3000, 0) AS span_start, least(last + 61 + 3000, O.len) AS span_end, O.len AS length FROM I JOIN O USING (contig_id) WHERE subject = 'siamang')"
+_ucs = f"WITH {sql_strata(SEGMENT_K, True)}{_isl}, U AS (SELECT I.contig_id, first AS start, last + {SEGMENT_K} AS \"end\", last + {SEGMENT_K} - first AS len, concat_ws(',', " + ", ".join(f"CASE WHEN (every & {_mask(s)}) <> 0 THEN '{s}' END" for s in _among) + f") AS \"in\", greatest(first - 3000, 0) AS span_start, least(last + {SEGMENT_K} + 3000, O.len) AS span_end, O.len AS length FROM I JOIN O USING (contig_id) WHERE subject = 'siamang')"
 
 
 def _ucs_rows(spark, d):
     c, rows, runs = _islands(spark, d)
-    return rows, segments.ultraconserved(runs, query_contigs(c), SUBJECTS, 61)
+    return rows, segments.ultraconserved(runs, query_contigs(c), SUBJECTS, SEGMENT_K)
 
 
 @query("q_ultraconserved", f"{_ucs} SELECT * FROM U")
@@ -585,4 +616,156 @@ def profile(spark, d):
     return arrays.profile(track, annotation(query_contigs(c)), ["chimp", "gorilla"], 500)
 
 
+# --- round trips through files --------------------------------------------------------------------------------------
+
+
+def _fresh(spark, name: str) -> str:
+    """A folder of its own for a query that writes and reads again."""
+    return f"{shared_root(spark)}/helixlake/{name}-{uuid.uuid4().hex}"
+
+
+@query("q_fasta_round_trip", f"WITH {sql_contigs()} SELECT genome, name, len, md5(s) AS digest FROM O WHERE genome IN ('{QUERY}', 'chimp')")
+def fasta_round_trip(spark, d):
+    """Two genomes written as FASTA, one gzipped, and read again."""
+    out = []
+    for genome in (QUERY, "chimp"):
+        path = _fresh(spark, "fasta")
+        sinks.write_fasta(contigs(spark, d).filter(F.col("genome") == genome), path, compress=genome == QUERY)
+        out.append(read_fasta(spark, path, genome))
+    return out[0].unionByName(out[1]).select("genome", "name", "len", F.md5("seq").alias("digest"))
+
+
+@query("q_strata_round_trip", f"WITH {sql_strata(21)} SELECT * FROM S WHERE contig_id % 3 = 0 AND lpos >= 100 AND lpos < 900")
+def strata_round_trip(spark, d):
+    """A run written by position and k, and a slice of it read again."""
+    path = _fresh(spark, "strata")
+    rows = _strata(spark, d, 21)[1]
+    sinks.write_strata(rows, path, QUERY, 21)
+    return sinks.read_strata(spark, path, QUERY, 21).filter("contig_id % 3 = 0 and lpos >= 100 and lpos < 900")
+
+
+@query("q_table_round_trip", f"WITH {sql_painted(21)} " + _sql_total(_sharing_body, "P"))
+def table_round_trip(spark, d):
+    """A class table as gzipped tab-separated text and back."""
+    path = _fresh(spark, "table")
+    sinks.write_table(summaries.class_sharing(_cells(spark, d), SUBJECTS), path, compress=True)
+    return sinks.read_table(spark, path)
+
+
+@query("q_json_round_trip", f"WITH {sql_strata(21)}, X AS (" + " UNION ALL ".join(_stats.format(s=s, i=i, b=1 << i) for i, s in enumerate(SUBJECTS)) + f") SELECT '{QUERY}' AS query, CAST(21 AS BIGINT) AS k, subject, bit, length, distinct_kmers, shared_distinct, shared_entries FROM X")
+def json_round_trip(spark, d):
+    """The description of a run as JSON and back, a row for each subject."""
+    path = _fresh(spark, "meta")
+    sinks.write_json(strata.run_meta(contigs(spark, d), QUERY, SUBJECTS, 21, 8), path)
+    return sinks.read_json(spark, path).select("query", "k", F.explode("subjects").alias("s")).select("query", "k", "s.*")
+
+
+#: Labels that the annotation's classes are written as.
+BED_LABELS = {"SD": "SD_1", "ct": "ct_4_2", "hor_active": "hor_3_1(S1C3H1L)", "hsat3": "hsat3_1(x)"}
+
+
+@query("q_bed_round_trip", f"WITH {sql_contigs()}, A AS (SELECT contig_id, x.class AS class, x.s AS start, x.e AS fin FROM (SELECT contig_id, unnest([" + ", ".join(f"{{'class': '{n}', 's': len * {a} // {b}, 'e': len * {c} // {e}}}" for n, (a, b), (c, e) in PAINT) + f"]) AS x FROM O WHERE genome = '{QUERY}') WHERE x.s < x.e) SELECT 'd' || contig_id AS chrom, start, fin AS \"end\", class FROM A")
+def bed_round_trip(spark, d):
+    """The annotation written as BED labels and read as classes."""
+    path = _fresh(spark, "bed")
+    c = query_contigs(contigs(spark, d))
+    label = F.coalesce(*[F.when(F.col("class") == k, F.lit(v)) for k, v in BED_LABELS.items()])
+    sinks.write_bed(annotation(c).join(c.select("contig_id", F.col("name").alias("chrom")), "contig_id").withColumn("label", label), path)
+    return read_bed(spark, path).select("chrom", "start", "end", "class")
+
+
+# --- alignments of the query's contigs ------------------------------------------------------------------------------
+
+
+def made_alignments(c: DataFrame) -> DataFrame:
+    """Three alignments for each contig of 100 bases or more: two primary ones, one of them of the other strand, and a secondary."""
+    long, third = c.filter("len >= 100"), "cast(n div 3 as string)"
+    spans = [(0, "len div 10", "len * 9 div 10", "+", "P", f"concat(n div 4, '=1X', {third}, '=2D', n - n div 4 - 1 - n div 3, '=')"), (1, "len div 2", "len - len div 20", "-", "P", f"concat({third}, '=3I', n - n div 3 - 3, '=')"), (2, "cast(0 as bigint)", "len div 5", "+", "S", "concat(n, '=')")]
+    out = []
+    for i, a, b, strand, kind, cigar in spans:
+        one = long.select("name", "len", (F.col("contig_id") * 3 + i).alias("aln"), F.expr(a).alias("qstart"), F.expr(b).alias("qend"), F.lit(strand).alias("strand"), F.lit(kind).alias("tp"))
+        out.append(one.withColumn("n", F.col("qend") - F.col("qstart")).withColumn("cigar", F.expr(cigar)))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def read_back(spark, rows: DataFrame, c: DataFrame) -> DataFrame:
+    """The same through a PAF file, placed on contigs by name."""
+    path = _fresh(spark, "paf")
+    zero = F.lit(0).cast("long")
+    tags = F.create_map(F.lit("tp:A"), "tp", F.lit("cg:Z"), "cigar", F.lit("id:i"), F.col("aln").cast("string"))
+    sinks.write_paf(rows.select(F.col("name").alias("qname"), F.col("len").alias("qlen"), "qstart", "qend", "strand", F.lit("t").alias("tname"), F.col("len").alias("tlen"), zero.alias("tstart"), F.col("n").alias("tend"), F.col("n").alias("matches"), F.col("n").alias("block"), F.lit(60).alias("mapq"), tags.alias("tags")), path)
+    back = read_paf(spark, path).select("qname", "qstart", "qend", "strand", F.col("tags")["cg:Z"].alias("cigar"), F.col("tags")["tp:A"].alias("tp"), F.col("tags")["id:i"].cast("long").alias("aln"))
+    return align.place(back, c)
+
+
+_aln = "N AS (SELECT *, len // 10 AS q0, len * 9 // 10 AS e0, len // 2 AS q1, len - len // 20 AS e1, len // 5 AS e2 FROM O WHERE genome = '" + QUERY + "' AND len >= 100), Z AS (SELECT *, e0 - q0 AS n0, e1 - q1 AS n1 FROM N)"
+_fits = lambda *spans: " OR ".join(f"(lpos >= {a} AND lpos + 21 <= {b})" for a, b in spans)
+_ok0 = _fits(("q0", "q0 + n0 // 4"), ("q0 + n0 // 4 + 1", "q0 + n0 // 4 + 1 + n0 // 3"), ("q0 + n0 // 4 + 1 + n0 // 3", "e0"))
+_ok1 = _fits(("e1 - n1 // 3", "e1"), ("q1", "e1 - n1 // 3 - 3"))
+_conc = f"""WITH {sql_strata(21)}, {_aln}, X AS (SELECT S.pres, S.mult, Z.len IS NOT NULL AND (({_ok0}) OR ({_ok1}) OR ({_fits(('0', 'e2'))})) AS exact, CASE WHEN Z.len IS NOT NULL AND lpos >= q1 AND lpos + 21 <= e1 THEN ({_ok1}) WHEN Z.len IS NOT NULL AND lpos >= q0 AND lpos + 21 <= e0 THEN ({_ok0}) END AS last, Z.len IS NOT NULL AND ((lpos >= q0 AND lpos < e0) OR (lpos >= q1 AND lpos < e1)) AS covered FROM S LEFT JOIN Z ON Z.contig_id = S.contig_id), Y AS (SELECT *, (pres & 2) <> 0 AS present, NOT exact AND last IS NOT NULL AND NOT last AS broken FROM X) SELECT count(*) AS valid, {_cnt('present', 'present')}, {_cnt('exact', 'exact')}, {_cnt('exact AND present', 'exact_present')}, {_cnt('broken', 'broken')}, {_cnt('broken AND present', 'broken_present')}, {_cnt('broken AND mult = 1', 'broken_single')}, {_cnt('broken AND mult = 1 AND present', 'broken_single_present')}, {_cnt('NOT covered', 'uncovered')}, {_cnt('NOT covered AND present', 'uncovered_present')} FROM Y"""
+
+
+@query("q_alignment_concordance", _conc)
+def alignment_concordance(spark, d):
+    """Presence in one subject against alignments of every contig, through a PAF file."""
+    c, rows = _strata(spark, d, 21)
+    own = query_contigs(c)
+    found = read_back(spark, made_alignments(own), own)
+    told = rows.select("contig_id", "lpos", (F.col("mult") > 0).alias("valid"), (F.col("pres").bitwiseAND(2) != 0).alias("present"), "mult")
+    return align.concordance(found, told, 21)
+
+
+# --- regions, levels, chromosomes, chance ---------------------------------------------------------------------------
+
+#: Fixed regions by contig name, as spotlights have them for chromosomes.
+FIXED = [("head", "d0", 0, 300), ("inside", "d24", 200, 100_000), ("none", "nowhere", 0, 10)]
+_half = "least(150, (fin - start) // 2 + 50)"
+_regions = f"""{_ann}, L AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY fin - start DESC, contig_id, ord) AS r FROM A) WHERE r = 1), SDS AS (SELECT * FROM A WHERE class = 'SD'), {_sql_merge('SDS', None)},
+R0 AS (SELECT class || '_block' AS id, contig_id, (start + fin) // 2 - {_half} AS a, (start + fin) // 2 + {_half} AS b FROM L WHERE class IN ('hsat3', 'ct') UNION ALL SELECT 'hor_active_edge', contig_id, start - 150, start + 150 FROM L WHERE class = 'hor_active' UNION ALL (SELECT 'sd_largest', contig_id, start, least(fin, start + 400) FROM MG ORDER BY fin - start DESC, contig_id, start LIMIT 1) UNION ALL SELECT f.id, contig_id, f.a, f.b FROM (VALUES {', '.join(map(str, FIXED))}) f(id, name, a, b) JOIN O ON O.name = f.name WHERE genome = '{QUERY}'),
+R AS (SELECT id, contig_id, greatest(a, 0) AS a, least(b, len) AS b FROM R0 JOIN O USING (contig_id) WHERE greatest(a, 0) < least(b, len))"""
+
+
+@query("q_spotlight_regions", f"WITH {sql_strata(21)}, {_regions} SELECT R.id, R.contig_id, a AS start, b AS \"end\", count(S.lpos) AS n, coalesce(CAST(sum(pres) AS BIGINT), 0) AS pres, coalesce(CAST(sum(mult) AS BIGINT), 0) AS mult FROM R LEFT JOIN S ON S.contig_id = R.contig_id AND S.lpos >= a AND S.lpos < b GROUP BY 1, 2, 3, 4")
+def spotlight_regions(spark, d):
+    """Fixed regions, blocks, an edge and the longest joined duplication, with what the strata hold there."""
+    c, rows = _strata(spark, d, 21)
+    own = query_contigs(c)
+    regions = intervals.spotlights(annotation(own), own, FIXED, ("hsat3", "ct"), ("hor_active",), 150, 50, 400)
+    inside = intervals.within(rows, regions).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("pres").alias("pres"), F.sum("mult").alias("mult"))
+    return regions.join(inside, "id", "left").select("id", "contig_id", "start", "end", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n", "pres", "mult")])
+
+
+@query("q_level_offsets", f"WITH {sql_contigs()} SELECT contig_id, name, len AS length, (len + 99) // 100 AS n0, (len + 999) // 1000 AS n1, (len + 9999) // 10000 AS n2, CAST(coalesce(sum((len + 9999) // 10000) OVER (ORDER BY contig_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM O WHERE genome = '{QUERY}'")
+def level_offsets(spark, d):
+    """Windows of each contig at each level, and where its widest ones start."""
+    return summaries.level_offsets(query_contigs(contigs(spark, d)), 100)
+
+
+@query("q_chrom_filter", f"WITH {sql_painted(21)}, Q AS (SELECT * FROM P WHERE contig_id % 16 IN (0, 8) AND contig_id <> 16) SELECT class, valid_positions, round(100.0 * shared_hg002 / valid_positions, 1) AS hg002_pct, round(100.0 * shared_siamang / valid_positions, 1) AS siamang_pct, CASE WHEN shared_siamang > 0 THEN round(100.0 * human_specific / shared_siamang, 1) END AS specific_pct FROM (" + _sql_total(_sharing_body, "Q") + ")")
+def chrom_filter(spark, d):
+    """Class sharing in percent over chosen contigs, one of them left out by name; what has nothing to share is null."""
+    c, rows = _strata(spark, d, 21)
+    chosen = only(query_contigs(c).filter("contig_id % 16 in (0, 8)"), without=["d16"]).select("contig_id")
+    t = summaries.class_sharing(summaries.cube(_paint(c, rows.join(chosen, "contig_id", "left_semi"))), SUBJECTS)
+    pct = lambda a, b: F.round(share(F.col(a), F.col(b)) * 100, 1)
+    return t.select("class", "valid_positions", pct("shared_hg002", "valid_positions").alias("hg002_pct"), pct("shared_siamang", "valid_positions").alias("siamang_pct"), pct("human_specific", "shared_siamang").alias("specific_pct"))
+
+
+CHANCE = [8, 10, 12, 31]
+_rand_bases = _rand.split("\nSELECT contig_id, substr")[0].replace("* 938", "* 63").replace("range(0, 938)", "range(0, 63)").replace("range(0, 4)", "range(0, 50)").replace("least(30000, 100000 - c.i * 30000)", "2000")
+_chance = _rand_bases + f""", RG AS (SELECT 'random' AS genome, contig_id, string_agg(substr('ACGT', CAST(code AS BIGINT) + 1, 1), '' ORDER BY p) AS s FROM D WHERE p < n GROUP BY contig_id),
+{sql_contigs(True)}, BOTH_ AS (SELECT genome, contig_id, start, s, len FROM O WHERE genome IN ('{QUERY}', 'hg002') UNION ALL SELECT genome, contig_id, contig_id * 2000 AS start, s, CAST(2000 AS BIGINT) AS len FROM RG)"""
+_chance += "".join(f", {sql_kmers(k, f'K{k}', 'BOTH_')}, T{k} AS (SELECT key, bool_or(genome = 'random') AS hit, bool_or(genome = 'hg002') AS own FROM K{k} GROUP BY key)" for k in CHANCE)
+_chance += " " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, count(*) AS valid, {_cnt('hit', 'random')}, {_cnt('own', 'hg002')}, round(1 - exp(-100000.0 * 2 / pow(4.0, {k})), 6) AS expected FROM K{k} JOIN T{k} USING (key) WHERE genome = '{QUERY}'" for k in CHANCE)
+
+
+@query("q_random_curve", _chance)
+def random_curve(spark, d):
+    """Presence over k in a random genome of 100,000 bases beside that in a subject, with what chance would give."""
+    c = contigs(spark, d, True).filter(F.col("genome").isin(QUERY, "hg002")).select("genome", "contig_id", "name", "seq", "len", "start")
+    both = prepared(c.unionByName(random_genome(spark, 100_000, 7, 2000).select(*c.columns)).drop("start"))
+    one = lambda k: strata.strata(both, QUERY, ["random", "hg002"], k).agg(F.count(F.lit(1)).alias("valid"), F.count_if(has_bit(F.col("pres"), 0)).alias("random"), F.count_if(has_bit(F.col("pres"), 1)).alias("hg002"))
+    return ladder.over_ladder(CHANCE, one).withColumn("expected", F.round(1 - F.exp(F.lit(-100_000.0) * 2 / F.power(F.lit(4.0), "k")), 6))
+
+
 __all__ = ["REGISTRY", "SQL", "contigs"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,18 +12,27 @@ from helixlake.functions.sequence import bases, region_class, text_bases
 from helixlake.plans.staging import stage
 
 
+#: Contig ids that one window group orders.
+SPAN = 4096
+
+
 def with_starts(contigs: DataFrame) -> DataFrame:
-    """Add len and start, a contig's offset in its genome in the order of contig_id. Only (genome, id, length) is
-    windowed; sequences are not moved by it when contigs are few, being joined back by a broadcast of checked size."""
+    """Add len and start, a contig's offset in its genome in the order of contig_id. Only (genome, id, length) is windowed,
+    by spans of ids: sums before each span first, then within it, so no task orders a whole genome's contigs."""
     sized = contigs if "len" in contigs.columns else contigs.withColumn("len", F.length("seq").cast("long"))
-    order = Window.partitionBy("genome").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.select("genome", "contig_id", F.coalesce(F.sum("len").over(order), F.lit(0)).alias("start"))
-    return sized.join(starts, ["genome", "contig_id"])
+    sizes = sized.select("genome", "contig_id", "len", F.floor(F.col("contig_id") / SPAN).alias("span"))
+    before = Window.partitionBy("genome").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sizes.groupBy("genome", "span").agg(F.sum("len").alias("n")).select("genome", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("genome", "span").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("inner", F.coalesce(F.sum("len").over(within), F.lit(0))).join(spans, ["genome", "span"])
+    return sized.join(starts.select("genome", "contig_id", (F.col("base") + F.col("inner")).alias("start")), ["genome", "contig_id"])
 
 
 def prepared(contigs: DataFrame) -> DataFrame:
-    """Contigs written once, so that the passes of a query read coded bases instead of coding them again."""
-    return with_starts(stage(contigs.withColumn("len", F.length("seq").cast("long")), "genome"))
+    """Contigs written once, for queries of many passes, which then read coded bases instead of coding them again.
+    staging.unstage deletes them."""
+    placed = contigs if "start" in contigs.columns else with_starts(contigs)
+    return stage(placed, "genome")
 
 
 def read_fasta(spark: SparkSession, path: str, genome: str, include: str | None = None) -> DataFrame:
@@ -41,7 +52,13 @@ def from_texts(df: DataFrame, genome: Column, contig_id: Column, text: Column, l
     """Contigs made of a table's texts, so that any corpus can be analysed like a genome collection."""
     out = df.select(genome.alias("genome"), contig_id.cast("long").alias("contig_id"), F.concat(F.lit("d"), contig_id.cast("string")).alias("name"), text.alias("text"))
     out = out if include is None else out.filter(F.contains("name", F.lit(include)))
-    return prepared(out.repartition("genome", "contig_id").select("genome", "contig_id", "name", F.coalesce(text_bases(F.col("text"), letters_only), F.lit("")).cast("binary").alias("seq")))
+    return with_starts(out.select("genome", "contig_id", "name", F.coalesce(text_bases(F.col("text"), letters_only), F.lit("")).cast("binary").alias("seq")))
+
+
+def only(contigs: DataFrame, names: Sequence[str] | None = None, without: Sequence[str] = ()) -> DataFrame:
+    """The contigs of the given names (all, if none are given), less those of `without`. Offsets stay those of the genome."""
+    out = contigs if names is None else contigs.filter(F.col("name").isin(list(names)))
+    return out.filter(~F.col("name").isin(list(without))) if without else out
 
 
 def index(contigs: DataFrame) -> DataFrame:

@@ -33,3 +33,25 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def write_json(meta: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Run descriptions, a line each, nested fields kept."""
     meta.write.mode(mode).json(path)
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
+def write_fasta(contigs: DataFrame, path: str, width: int = 60, mode: str = "overwrite", compress: bool = False) -> None:
+    """Contigs as FASTA text, lines of `width` bases, a folder of files."""
+    wrapped = F.regexp_replace(F.col("seq").cast("string"), f"(.{{{width}}})(?=.)", "$1\n")
+    contigs.select(F.concat(F.lit(">"), "name", F.lit("\n"), wrapped)).write.mode(mode).option("compression", "gzip" if compress else "none").text(path)
+
+
+def write_bed(intervals: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """(chrom, start, end, label) as BED."""
+    intervals.select(F.concat_ws("\t", "chrom", "start", "end", "label")).write.mode(mode).text(path)
+
+
+def write_paf(alignments: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Alignments with the twelve columns that read_paf gives, their tags as kind:type:value."""
+    names = ["qname", "qlen", "qstart", "qend", "strand", "tname", "tlen", "tstart", "tend", "matches", "block", "mapq"]
+    tags = F.transform(F.map_entries("tags"), lambda t: F.concat(t["key"], F.lit(":"), t["value"]))
+    alignments.select(F.concat_ws("\t", *names, tags)).write.mode(mode).text(path)
