@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import DATA
 
-NAMES = ["q_contig_index", "q_kmer_stride", "q_strata_dense_stride4", "q_small_query", "q_class_sharing", "q_window_pyramid", "q_census", "q_segments", "q_merge_gap", "q_label_class", "q_array_table", "q_random_genome", "q_alignment_exact"]
+NAMES = ["q_contig_index", "q_kmer_stride", "q_strata_dense_stride4", "q_small_query", "q_class_sharing", "q_window_pyramid", "q_census", "q_segments", "q_merge_gap", "q_label_class", "q_array_table", "q_random_genome", "q_alignment_exact", "q_fasta_round_trip", "q_strata_round_trip", "q_table_round_trip", "q_json_round_trip", "q_bed_round_trip", "q_alignment_concordance", "q_spotlight_regions", "q_level_offsets", "q_chrom_filter", "q_random_curve", "q_segment_kind"]
 
 
 @pytest.fixture(scope="module")

@@ -116,7 +116,35 @@ def test_alignment_runs(spark):
                 want.add((a, start + p))
     df = spark.createDataFrame(rows, "aln int, qstart long, qend long, strand string, cigar string, tp string")
     assert {(x.aln, x.p) for x in align.exact_starts(df, k).collect()} == want
-    pos = spark.createDataFrame([(p, p % 5 != 0, p % 3 == 0, 1 + p % 2) for p in range(200)], "p long, valid boolean, present boolean, mult int")
-    c = align.concordance(df, pos, k).first()
-    exact = {p for _, p in want}
-    assert c.exact == sum(1 for p in exact if p % 5 and p < 200) and c.valid == 160
+    # two contigs with alignments of their own: the counts by hand, position by position
+    contig = lambda a: a % 2
+    placed = df.withColumn("contig_id", (F.col("aln") % 2).cast("long"))
+    rest = random.Random(5)
+    told = {(c, p): (rest.random() < 0.8, rest.random() < 0.5, rest.randint(1, 2)) for c in (0, 1) for p in range(200)}
+    pos = spark.createDataFrame([(c, p, *x) for (c, p), x in told.items()], "contig_id long, lpos long, valid boolean, present boolean, mult int")
+    count = dict.fromkeys(["valid", "present", "exact", "exact_present", "broken", "broken_present", "broken_single", "broken_single_present", "uncovered", "uncovered_present"], 0)
+    for (c, p), (valid, present, mult) in told.items():
+        if not valid:
+            continue
+        mine = [r for r in rows if contig(r[0]) == c]
+        exact = any((r[0], p) in want for r in mine)
+        main = [r for r in mine if r[5] == "P"]
+        whole = [r for r in main if r[1] <= p and p + k <= r[2]]
+        groups = {"valid": True, "exact": exact, "broken": bool(whole) and not exact and (max(whole)[0], p) not in want, "uncovered": not any(r[1] <= p < r[2] for r in main)}
+        groups["broken_single"] = groups["broken"] and mult == 1
+        for g, yes in groups.items():
+            count[g] += yes
+            count["present" if g == "valid" else f"{g}_present"] += yes and present
+    got = align.concordance(placed, pos, k).first().asDict()
+    assert got == count and min(count.values()) > 0
+    names = spark.createDataFrame([("c0", 0, 10), ("c1", 1, 20)], "name string, contig_id long, start long")
+    named = align.place(placed.drop("contig_id").withColumn("qname", F.concat(F.lit("c"), (F.col("aln") % 3).cast("string"))), names)
+    assert {(r.qname, r.contig_id, r.offset) for r in named.collect()} == {("c0", 0, 10), ("c1", 1, 20)}
+
+
+def test_spotlights(spark):
+    rows = [(0, 100, 130, "bsat", 0), (0, 400, 900, "bsat", 1), (1, 10, 60, "rDNA", 2), (1, 50, 400, "SD", 3), (1, 400, 700, "SD", 4), (0, 0, 500, "SD", 5)]
+    iv = spark.createDataFrame(rows, "contig_id long, start long, end long, class string, ord long")
+    contigs = spark.createDataFrame([("a", 0, 950), ("b", 1, 800)], "name string, contig_id long, len long")
+    got = {r.id: (r.contig_id, r.start, r.end) for r in intervals.spotlights(iv, contigs, [("f", "b", 700, 5000), ("g", "z", 0, 9)], ["bsat"], ["rDNA"], flank=200, pad=100, longest=600).collect()}
+    assert got == {"f": (1, 700, 800), "bsat_block": (0, 450, 850), "rDNA_edge": (1, 0, 210), "sd_largest": (1, 50, 650)}

@@ -4,11 +4,12 @@ import gzip
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helixlake.operators import strata as S
-from helixlake.operators.kmers import kmers, spectrum
+from helixlake.operators.kmers import kmers, spectrum, window_hashes
 from helixlake.sources.genome import read_bed, read_fasta, read_index, read_paf, with_starts
 from helixlake.sources.randgen import random_genome
 
@@ -53,7 +54,7 @@ def genomes():
     return mosaic(7, {"q": [22, 9, 0, 1], "s1": [6, 14], "s2": [11]})
 
 
-@pytest.mark.parametrize("k,stride,small", [(21, 1, False), (32, 1, False), (16, 4, False), (33, 1, False), (51, 4, False), (201, 8, False), (25, 1, True), (101, 2, True)])
+@pytest.mark.parametrize("k,stride,small", [(21, 1, False), (32, 1, False), (16, 4, False), (33, 1, False), (51, 4, False), (201, 8, False), (500, 3, False), (25, 1, True), (101, 2, True)])
 def test_strata(spark, genomes, k, stride, small):
     c = contigs_of(spark, genomes)
     got = {(r.contig_id, r.lpos): (r.pres, r.mult, r.mult_full) for r in S.strata(c, "q", ["s1", "s2"], k, stride, small_query=small).collect()}
@@ -135,3 +136,27 @@ def test_random_genome(spark):
             s += "".join("ACGT"[(z >> (2 * j)) & 3] for j in range(32))
         want.append(s[:n])
     assert [g[i] for i in range(3)] == want
+
+
+def test_window_hashes_tell_windows_apart():
+    r = np.random.default_rng(3)
+    codes = r.integers(0, 2, 700)
+    codes[300:600] = codes[:300]
+    for k in (33, 63, 64, 100, 129, 255):
+        h = window_hashes(codes, k, 1)
+        kinds = {}
+        for i, x in enumerate(h.tolist()):
+            kinds.setdefault(bytes(codes[i : i + k].tolist()), set()).add(x)
+        assert all(len(v) == 1 for v in kinds.values()) and len(set(h.tolist())) == len(kinds) < len(h)
+        assert len(set(window_hashes(codes, k, 2).tolist()) & set(h.tolist())) == 0
+
+
+def test_starts_over_many_spans(spark):
+    rows = [("g", i * 1000 + i % 7, i % 13) for i in range(300)] + [("h", 5, 9)]
+    df = spark.createDataFrame([(g, c, "n", bytearray(b"A" * n)) for g, c, n in rows], "genome string, contig_id long, name string, seq binary")
+    got = {(r.genome, r.contig_id): r.start for r in with_starts(df).collect()}
+    at = 0
+    for g, c, n in sorted(rows[:300], key=lambda x: x[1]):
+        assert got[g, c] == at
+        at += n
+    assert got["h", 5] == 0

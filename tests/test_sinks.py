@@ -1,10 +1,10 @@
 from helixlake.operators import strata as S
 from helixlake.sources import sinks
-from tests.test_kmers import contigs_of, planted
+from tests.test_kmers import contigs_of, mosaic
 
 
 def test_round_trips(spark, tmp_path):
-    c = contigs_of(spark, planted(3))
+    c = contigs_of(spark, mosaic(3, {"q": [9, 4], "s1": [5], "s2": [6, 2]}))
     for k in (21, 33):
         sinks.write_strata(S.strata(c, "q", ["s1", "s2"], k), str(tmp_path / "s"), "q", k)
     sinks.write_strata(S.strata(c, "q", ["s1", "s2"], 21), str(tmp_path / "s"), "q", 21)
