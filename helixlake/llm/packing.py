@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from helixlake.llm.arrowio import slices, texts
 from helixlake.plans.staging import ship, stage
 
-#: Words whose ids a Python worker keeps; when full, it starts anew.
-CACHE_WORDS = 400_000
+#: Bytes, about, of the words whose ids a Python worker keeps; when full, it starts anew.
+CACHE_BYTES = 64 << 20
 #: Separators of str.split that are no white space to the tokenizer; texts with them are encoded whole.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -34,6 +34,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -78,8 +79,9 @@ class WordIds:
         odd = {i for i, t in enumerate(docs) if any(c in t for c in _ODD)}
         words = [[] if i in odd else _folded(t).split() for i, t in enumerate(docs)]
         new = {w for w in set().union(*words) if w not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
+        self.held += 4 * sum(map(len, new)) + 200 * len(new)
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
             new = set().union(*words)
         self._learn(new)
         out = [b"".join(map(self.known.__getitem__, w)) for w in words]

@@ -16,10 +16,10 @@ from helixlake.plans.staging import ship
 
 SPACE = "▁"
 #: Stretches of text whose ids a Python worker keeps, and compatibility answers; when full, they start anew.
-CACHE_UNITS = 400_000
-#: Characters beyond which only the parts of a unit are kept, if it has some.
+CACHE_UNITS = 300_000
+#: Characters beyond which a unit is not kept, so that the kept ones are bounded in bytes too.
 LONG_UNIT = 64
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 500_000
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 
 
@@ -173,11 +173,10 @@ class PieceModel:
             cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.joined]  # such as before a comma after a word
             if cuts:
                 got = b"".join(self._whole(unit[a:b]) for a, b in pairwise([0, *cuts, len(unit)]))
-                if len(unit) > LONG_UNIT:
-                    return got
             else:
                 got = self._unit(unit)
-            self.units[unit] = got
+            if len(unit) <= LONG_UNIT:
+                self.units[unit] = got
         return got
 
     def _whole(self, part: str) -> bytes:
@@ -186,7 +185,9 @@ class PieceModel:
         if got is None:
             if len(self.units) >= CACHE_UNITS:
                 self.units = {}
-            got = self.units[part] = self._unit(part)
+            got = self._unit(part)
+            if len(part) <= LONG_UNIT:
+                self.units[part] = got
         return got
 
     def encode(self, text: str) -> bytes:

@@ -20,7 +20,8 @@ from helixlake.plans.staging import ship
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 3000
 #: Windows of _WINDOW tokens, with cues and without, that the chain is fitted on at most.
 HOT_WINDOWS, PLAIN_WINDOWS = 6000, 3000
-CACHE_WORDS = 400_000
+#: Bytes, about, of the words whose potentials a Python worker keeps; when full, it starts anew.
+CACHE_BYTES = 48 << 20
 _WORD = re.compile(r"[^\W_]+")
 _STEMS = range(3, 9)
 _WINDOW = 64
@@ -100,6 +101,7 @@ class Tagger:
         self.weights, self.bias, self.trans, self.doc = weights, bias, trans, doc
         self.known: dict[str, int] = {}
         self.scores = np.zeros(0)
+        self.held = 0
 
     def word_score(self, word: str) -> float:
         get = self.weights.get
@@ -108,8 +110,9 @@ class Tagger:
     def tokens(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of all words, and n + 1 bounds of documents among them."""
         new = {w for w in set().union(*docs) if w not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.scores = {}, np.zeros(0)
+        self.held += 2 * sum(map(len, new)) + 180 * len(new)
+        if self.held > CACHE_BYTES:
+            self.known, self.scores, self.held = {}, np.zeros(0), 0
             new = set().union(*docs)
         if new:
             new = list(new)
@@ -250,7 +253,9 @@ def fit(rows: Iterable[tuple[str, int]], weight_of: dict[int, float]) -> Tagger
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Tagger | None:
     """Fit on labelled documents (labels: doc_id, toxic 0 or 1; nulls are left out), about `toxic` and `clean` of each at most.
 
-    This bounded sample is all that the driver reads; it is taken by a hash of doc_id and does not grow with the data.
+    This bounded sample is all that the driver reads; it is taken by a hash of doc_id and does not grow with the data. The
+    chain is fitted on evenly chosen windows of the sample, HOT_WINDOWS with cues and PLAIN_WINDOWS without at most; the
+    document layer on all of the sample. Scores always cover whole texts.
     """
     labels = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     have = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
