@@ -85,5 +85,16 @@ def queries() -> dict:
     return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op6_neighbours": op6_neighbours, "op7_language": op7_language, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 
 
+#: Exact links between all pairs of texts, then the smallest document that each reaches.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NEAR = rf"""WITH RECURSIVE W AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+S AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 1 THEN [hash(w[1])] WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: hash(w[i], w[i + 1])) ELSE [] END) AS s FROM W),
+P AS (SELECT a.doc_id AS a, b.doc_id AS b, len(a.s) AS n, len(b.s) AS m, len(list_intersect(a.s, b.s)) AS c FROM S a JOIN S b ON a.doc_id < b.doc_id AND len(a.s) > 0 AND 100 * least(len(a.s), len(b.s)) >= 80 * greatest(len(a.s), len(b.s))),
+L AS MATERIALIZED (SELECT a, b FROM P WHERE 100 * c >= 80 * (n + m - c)),
+R AS (SELECT a AS x, b AS y FROM L UNION SELECT b, a FROM L UNION SELECT R.x, E.y FROM R JOIN (SELECT a AS x, b AS y FROM L UNION ALL SELECT b, a FROM L) E ON E.x = R.y)
+SELECT S.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(S.doc_id, min(y)), S.doc_id) AS component_id, coalesce(least(S.doc_id, min(y)), S.doc_id) = S.doc_id AS kept FROM S LEFT JOIN R ON R.x = S.doc_id GROUP BY S.doc_id, s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL over whole tables, where it can express an operator's exact result."""
+    return {"op2_near_duplicates": _NEAR}
