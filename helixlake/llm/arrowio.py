@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 1 << 20):
     """Cut a batch into runs of rows of about `budget` bytes of text (one row at least), to bound a task's memory."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0

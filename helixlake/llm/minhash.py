@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.llm.arrowio import slices
-from helixlake.llm.stars import link_buckets
+from helixlake.llm.stars import BROADCAST_IDS, components, link_buckets
 from helixlake.llm.textkit import U64, common, mix, shingle_sets
 from helixlake.plans.staging import ship, stage
 
@@ -68,32 +68,31 @@ def _sign(words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("t"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([bands(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "kind", "bands"],
+                    names=["doc_id", "t", "n_shingles", "kind", "bands"],
                 )
 
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Link documents with 100 * |A and B| >= percent * |A or B| over their sets of `words`-word shingles.
+def text_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, t, n_shingles, head) for each row: t is the text's hash, head the smallest (doc_id, t) of the texts that links
+    connect with the row's; null for texts without words and rows without doc_id, which are linked with nothing.
 
-    Result, a row per document: doc_id, n_shingles long, component_id (smallest doc_id reachable), kept boolean.
-    Texts with equal sets are one class from the start, so copies are never compared. A text with fewer words is one
-    shingle; a null, empty or wordless text has none and stays alone. Rows with a null doc_id are kept, with a null
-    component. Rows that share a doc_id are one node, linked by any of their texts, and each get a row. An empty table
-    gives an empty result. Other columns are not read.
+    Texts with equal sets are one class from the start, so copies are never compared. A text stands for itself, whatever
+    doc_id it has; only rows of the same doc_id and text are one.
     """
     ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    signed = stage(docs.mapInArrow(_sign(words), "doc_id long, n_shingles long, kind binary, bands array<long>"), "signed")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    signed = stage(docs.mapInArrow(_sign(words), "doc_id long, t long, n_shingles long, kind binary, bands array<long>"), "signed")
     usable = signed.filter("kind is not null and doc_id is not null")
-    classes = usable.groupBy("kind").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
-    classes = stage(classes.select("kind", "r.*"), "classes")
-    buckets = classes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("member"), F.col("n_shingles").alias("trait")).distinct()
+    classes = usable.groupBy("kind").agg(F.min(F.struct("doc_id", "t", "n_shingles", "bands")).alias("r"))
+    classes = stage(classes.select("kind", "r.*", F.monotonically_increasing_id().alias("node")), "classes")  # numbers hold, as they are written
+    buckets = classes.select(F.explode("bands").alias("bucket"), F.col("node").alias("member"), F.col("n_shingles").alias("trait"))
     near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -102,9 +101,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         n = common(a, b)
         return 100 * n >= percent * (len(a) + len(b) - n)
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    groups = link_buckets(buckets, near, lambda ids: texts, lambda c: shingle_sets(c, words), linked)
-    heads = classes.select("kind", F.col("doc_id").alias("node")).join(groups, "node", "left").select("kind", F.coalesce("comp", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("kind")).alias("kind")).join(heads, "kind", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = stage(classes.select(F.col("node").alias("id"), "doc_id", "t").join(ids, "id"), "wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "t"]).select("id", "text")
+
+    groups = link_buckets(buckets, near, texts, lambda c: shingle_sets(c, words), linked)
+    comps = classes.join(groups, "node", "left").select("kind", F.coalesce("comp", "node").alias("comp"), F.struct("doc_id", "t").alias("own"))
+    heads = comps.join(comps.groupBy("comp").agg(F.min("own").alias("head")), "comp").select("kind", "head")
+    out = signed.select("doc_id", "t", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("kind")).alias("kind")).join(heads, "kind", "left")
+    return out.select("doc_id", "t", "n_shingles", "head")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Link documents with 100 * |A and B| >= percent * |A or B| over their sets of `words`-word shingles.
+
+    Result, a row per document: doc_id, n_shingles long, component_id (smallest doc_id reachable), kept boolean.
+    A text with fewer words is one shingle; a null, empty or wordless text has none and stays alone. Rows with a null
+    doc_id are kept, with a null component. Rows that share a doc_id are one document, linked by any of their texts, and
+    each get a row. An empty table gives an empty result. Other columns are not read.
+    """
+    placed = stage(text_groups(docs, words, percent).select("doc_id", "n_shingles", F.coalesce("head.doc_id", "doc_id").alias("own")), "placed")
+    spread = placed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a < b")
+    if spread.isEmpty():
+        out = placed.withColumnRenamed("own", "component_id")
+    else:  # documents with texts in several groups join these
+        joined = components(placed.filter("doc_id is not null").select(F.col("doc_id").alias("u"), F.col("own").alias("v")))
+        out = placed.join(joined, F.col("doc_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

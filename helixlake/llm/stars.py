@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from helixlake.llm.arrowio import slices
@@ -16,29 +16,29 @@ from helixlake.plans.staging import stage, unstage
 BROADCAST_IDS = 1_000_000
 #: Members that one task compares with one copy of their centre.
 MEMBERS = 256
+#: Rounds of stars, each with other centres, before families are compared.
+ROUNDS = 3
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for edges (u, v): comp is the smallest node reachable. Alternating large and small stars, staged each round."""
+    """(node, comp) for edges (u, v): comp is the smallest node reachable. Alternating large and small stars, staged each round,
+    until a round changes nothing, which is seen from sums taken as it is written."""
     e = stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = None
     while True:
-        tangled = e.groupBy("u").count().filter("count > 1").select("u").unionByName(e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi"))
-        if tangled.isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        was, e = e, stage(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        after = Observation()
+        new = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        new = new.observe(after, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+        was, e = e, stage(new, "edges")
         unstage(was)
-
-
-def fetch(texts: Callable[[DataFrame], DataFrame], ids: DataFrame) -> DataFrame:
-    """The rows (id, text) of ids (distinct), from texts(ids), which may return others too."""
-    ids = stage(ids, "ids")
-    few = ids.count() <= BROADCAST_IDS
-    return texts(ids).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        if after.get == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        before = after.get
 
 
 def confirm(edges: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable[[pa.Array], list[np.ndarray]], linked: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
@@ -47,7 +47,7 @@ def confirm(edges: DataFrame, texts: Callable[[DataFrame], DataFrame], features:
     Each centre's text goes once to each group of about MEMBERS of its members and is compared while they stream by,
     so a centre of any number of members neither gathers in one task nor is copied for each edge.
     """
-    found = fetch(texts, edges.select(F.explode(F.array("center", "member")).alias("id")).distinct())
+    found = texts(edges.select(F.explode(F.array("center", "member")).alias("id")).distinct())
     sizes = edges.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
     dealt = edges.join(sizes, "center").select("center", "member", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part"))
     members = dealt.join(found.withColumnRenamed("id", "member"), "member").select("center", "part", "member", "text")
@@ -77,53 +77,96 @@ def link_buckets(buckets: DataFrame, near: Callable, texts: Callable[[DataFrame]
     """(node, comp) over the links between members of a same bucket. buckets: (bucket, member, trait), or (bucket, member) with traits: (member, trait).
 
     near(trait, trait) is a cheap necessary condition as a Column; texts(ids) gives (id, text) of ids (id); features and
-    linked confirm a pair on whole texts. First come stars: each bucket's smallest member with its others, confirmed;
-    a bucket whose members are in one group then is done. The members of the others, which no centre linked, form
-    families through the buckets they share, and every pair of a family's different groups is compared, in blocks,
-    inside tasks: no link is lost, and rows stay in proportion to members and blocks, not to pairs. With traits, near
-    must be selective (few pairs but links pass it, and most members share no bucket): only members that share one get
-    their trait, and members of different groups meet by a join on buckets under near instead, which gives no more rows
-    than such pairs.
+    linked confirm a pair on whole texts. Stars come first: each bucket's smallest member with its others, confirmed.
+    It then leaves the bucket, and a bucket whose other members are in one group is done. This is repeated ROUNDS times with
+    the next members as centres. What is left forms families through the buckets they share, and every pair of a
+    family's different groups is compared, in blocks, inside tasks: no link is lost, and rows stay in proportion to
+    members and blocks, not to pairs. With traits, near must be selective (few pairs but links pass it, and most members
+    share no bucket): only members that share one get their trait, and after one round of stars members of different
+    groups meet by a join on buckets under near instead, which gives no more rows than such pairs.
     """
-    selective = traits is not None
-    if selective:  # buckets are small but for links, so their rows, which may repeat, are dealt once and serve both the counts and the join
-        buckets = buckets.repartition("bucket")
-        tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("member").alias("last"), F.min("member").alias("top")).filter("top < last").select("bucket", "top", (F.col("n") > 2).alias("many"))
-        live = stage(buckets.join(tops, "bucket").distinct(), "live")
-        stars = live.filter("member <> top").select(F.col("top").alias("center"), "member").distinct()
-        lows = traits.select(F.col("member").alias("center"), F.col("trait").alias("low"))
-        stars = stars.join(traits, "member").join(lows, "center").filter(near(F.col("low"), F.col("trait"))).select("center", "member")
-    else:
-        tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("member", "trait")).alias("low")).filter("n > 1").select("bucket", "low")
-        live = stage(buckets.join(tops, "bucket"), "live")
-        stars = live.filter((F.col("member") != F.col("low.member")) & near(F.col("low.trait"), F.col("trait")))
-        stars = stars.select(F.col("low.member").alias("center"), "member").distinct()
-    stars = stage(stars, "stars")
+    if traits is not None:
+        return _link_selective(buckets, near, texts, features, linked, traits)
+    own = F.struct("member", "trait", F.col("member").alias("comp"))
+    tops = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("low")).filter("n > 1").select("bucket", "low")
+    met = buckets.join(tops, "bucket").withColumn("comp", F.col("member"))
+    links = groups = None
+    for _ in range(ROUNDS):
+        met = stage(met.filter(F.col("member") != F.col("low.member")), "met")
+        stars = met.filter((F.col("comp") != F.col("low.comp")) & near(F.col("low.trait"), F.col("trait")))
+        stars = stage(stars.select(F.col("low.member").alias("center"), "member").distinct(), "stars")
+        new = confirm(stars, texts, features, linked)
+        was, links = links, stage(new if links is None else links.unionByName(new), "links")
+        gone, groups = groups, stage(components(_as_edges(links)), "groups")
+        for x in (stars, was, gone):
+            unstage(x)
+        now = met.select("bucket", "member", "trait").join(groups.withColumnRenamed("node", "member"), "member", "left").withColumn("comp", F.coalesce("comp", "member"))
+        mixed = now.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
+        rest = stage(now.join(mixed, "bucket"), "rest")
+        unstage(met)
+        if rest.isEmpty():
+            unstage(links)
+            return groups
+        tops = rest.groupBy("bucket").agg(F.min(F.struct("member", "trait", "comp")).alias("low"))
+        met = rest.join(tops, "bucket")
+    families = components(met.filter(F.col("member") != F.col("low.member")).select(F.col("low.member").alias("u"), F.col("member").alias("v")).distinct())
+    members = stage(rest.select("member", "comp").distinct().join(families.select(F.col("node").alias("member"), F.col("comp").alias("family")), "member"), "members")
+    more = stage(_compare_families(members, texts, features, linked), "more")
+    return groups if more.isEmpty() else components(_as_edges(links.unionByName(more)))
+
+
+def _as_edges(links: DataFrame) -> DataFrame:
+    return links.select(F.col("center").alias("u"), F.col("member").alias("v"))
+
+
+def _shared(batches):
+    """(bucket, top, member) of each bucket's members but one, top, from rows sorted by bucket."""
+    bucket = top = None
+    for batch in batches:
+        b, m = batch.column("bucket").to_numpy(), batch.column("member").to_numpy()
+        if not len(b):
+            continue
+        old = b == bucket  # buckets that began in an earlier batch come first
+        run = np.concatenate(([0], np.cumsum(b[1:] != b[:-1])))
+        size = np.bincount(run)
+        use = np.flatnonzero((size[run] > 1) | old)
+        use = use[np.lexsort((m[use], run[use]))]
+        same = np.zeros(len(use), bool)
+        same[1:] = run[use[1:]] == run[use[:-1]]
+        heads = m[use][np.maximum.accumulate(np.where(same, 0, np.arange(len(use))))] if len(use) else m[:0]
+        heads = np.where(old[use], top, heads) if old[0] else heads
+        if b[-1] != bucket:
+            last = use[run[use] == run[-1]]
+            bucket, top = b[-1], (m[last[0]] if len(last) else m[-1])
+        new = m[use] != heads
+        new[1:] &= ~(same[1:] & (m[use[1:]] == m[use[:-1]]))
+        use, heads = use[new], heads[new]
+        yield pa.RecordBatch.from_arrays([pa.array(b[use]), pa.array(heads), pa.array(m[use])], names=["bucket", "top", "member"])
+
+
+def _link_selective(buckets: DataFrame, near: Callable, texts: Callable, features: Callable, linked: Callable, traits: DataFrame) -> DataFrame:
+    """link_buckets with traits. Most buckets have one member only: their rows, which may repeat, are dealt and sorted once."""
+    live = buckets.repartition("bucket").sortWithinPartitions("bucket")
+    live = stage(live.mapInArrow(_shared, "bucket long, top long, member long"), "live")
+    lows = traits.select(F.col("member").alias("center"), F.col("trait").alias("low"))
+    stars = live.select(F.col("top").alias("center"), "member").distinct().join(traits, "member").join(lows, "center")
+    stars = stage(stars.filter(near(F.col("low"), F.col("trait"))).select("center", "member"), "stars")
     links = stage(confirm(stars, texts, features, linked), "links")
-    as_edges = lambda x: x.select(F.col("center").alias("u"), F.col("member").alias("v"))
-    groups = stage(components(as_edges(links)), "groups")
-    own = groups.withColumnRenamed("node", "member")
-    if selective:  # a bucket of two was one star, so nothing is left to compare
-        now = live.filter("many").join(own, "member", "left").select("bucket", "member", F.coalesce("comp", "member").alias("comp"))
-    else:
-        now = live.join(own, "member", "left").select("bucket", "member", "trait", F.col("low.member").alias("low"), F.coalesce("comp", "member").alias("comp"))
-    now = now.repartition("bucket") if selective else now
+    unstage(stars)
+    groups = stage(components(_as_edges(links)), "groups")
+    # each top has met its bucket's others, so only these are left, where they are of several groups
+    now = live.join(groups.withColumnRenamed("node", "member"), "member", "left").select("bucket", "member", F.coalesce("comp", "member").alias("comp")).repartition("bucket")
     mixed = now.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
     rest = stage(now.join(mixed, "bucket"), "rest")
     unstage(live)
-    if selective:
-        rest = rest.join(traits, "member")
-        other = rest.select("bucket", F.col("member").alias("m2"), F.col("trait").alias("t2"), F.col("comp").alias("c2"))
-        meet = (rest["bucket"] == other["bucket"]) & (F.col("member") < F.col("m2")) & (F.col("comp") != F.col("c2")) & near(F.col("trait"), F.col("t2"))
-        pairs = stage(rest.join(other, meet).select(F.col("member").alias("center"), F.col("m2").alias("member")).distinct(), "pairs")
-        return components(as_edges(links.unionByName(confirm(pairs, texts, features, linked))))
-    families = components(rest.filter("member <> low").select(F.col("low").alias("u"), F.col("member").alias("v")).distinct())
-    members = stage(rest.select("member", "comp").distinct().join(families.select(F.col("node").alias("member"), F.col("comp").alias("family")), "member"), "members")
+    one = rest.join(traits, "member")
+    two = one.select("bucket", F.col("member").alias("m2"), F.col("trait").alias("t2"), F.col("comp").alias("c2"))
+    meet = (one["bucket"] == two["bucket"]) & (F.col("member") < F.col("m2")) & (F.col("comp") != F.col("c2")) & near(F.col("trait"), F.col("t2"))
+    pairs = stage(one.join(two, meet).select(F.col("member").alias("center"), F.col("m2").alias("member")).distinct(), "pairs")
+    more = stage(confirm(pairs, texts, features, linked), "more")
     unstage(rest)
-    more = stage(_compare_families(members, texts, features, linked), "more")
-    if more.isEmpty():
-        return groups
-    return components(as_edges(links.unionByName(more)))
+    unstage(pairs)
+    return groups if more.isEmpty() else components(_as_edges(links.unionByName(more)))
 
 
 def _compare_families(members: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable, linked: Callable) -> DataFrame:
@@ -145,20 +188,26 @@ def _compare_families(members: DataFrame, texts: Callable[[DataFrame], DataFrame
     zero, one = F.lit(0), F.lit(1)
     across = F.when(F.col("side") == 0, F.transform(upto(F.col("n1")), lambda j: pair(zero, F.col("own"), one, j))).otherwise(F.concat(F.transform(upto(F.col("n0")), lambda i: pair(zero, i, one, F.col("own"))), F.transform(upto(F.col("n1")), lambda j: pair(one, F.least(j, F.col("own")), one, F.greatest(j, F.col("own"))))))
     placed = dealt.select("family", "member", "comp", "side", "own", F.explode(across).alias("task"))
-    placed = placed.join(fetch(texts, members.select(F.col("member").alias("id")).distinct()).withColumnRenamed("id", "member"), "member")
+    placed = placed.join(texts(members.select(F.col("member").alias("id")).distinct()).withColumnRenamed("id", "member"), "member")
     placed = placed.select("family", F.concat_ws(":", "task.a", "task.i", "task.b", "task.j").alias("task"), (F.col("side") * 1_000_000 + F.col("own")).alias("block"), "member", "comp", "text")
 
+    def top(over: dict, c: int) -> int:
+        while c in over:
+            c = over[c]
+        return c
+
     def compare(batches):
-        at, kept = None, []
+        at, kept, over = None, [], {}
         for batch in batches:
             for b in slices(batch):
                 got = {"center": [], "member": []}
                 for f, t, k, m, c, x in zip(*(b.column(n).to_pylist() for n in ("family", "task", "block", "member", "comp")), features(b.column("text")), strict=True):
                     if (f, t) != at:
-                        at, kept = (f, t), []
+                        at, kept, over = (f, t), [], {}
                     alone = len({*t.split(":")[0::2]}) == 1 and len({*t.split(":")[1::2]}) == 1
-                    for k2, m2, c2, x2 in kept:
-                        if c2 != c and (alone or k2 != k) and m2 != m and linked(x2, x):
+                    for k2, m2, c2, x2 in kept:  # a link between groups that this task has already joined adds nothing
+                        if (alone or k2 != k) and m2 != m and (r := top(over, c)) != (r2 := top(over, c2)) and linked(x2, x):
+                            over[r] = r2
                             got["center"].append(min(m, m2))
                             got["member"].append(max(m, m2))
                     kept.append((k, m, c, x))

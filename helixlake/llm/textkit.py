@@ -7,8 +7,9 @@ import pyarrow as pa
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
+#: Bytes of text up to which powers are kept for each place; beyond, for each place in a word.
+_PLACES = 1 << 22
 #: White space: space and U+0009 to U+000D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -23,13 +24,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(n + n // 4, base, U64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=U64)
-    return _powers[0][:n], _powers[1]
+def _power(n: int, inverse: bool = False) -> np.ndarray:
+    if len(_powers[inverse]) < n:
+        p = np.full(n + n // 4, pow(_BASE, -1, 1 << 64) if inverse else _BASE, U64)
+        p[0] = 1
+        _powers[inverse] = np.cumprod(p, dtype=U64)
+    return _powers[inverse]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,10 +57,18 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE
     bounds = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, U64), bounds, starts
-    power, inverse = _power(n)
-    term = (folded.astype(U64) + U64(1)) * power
+    term = folded.astype(U64) + U64(1)
+    if n <= _PLACES:
+        term *= _power(n)[:n]
+        term[blank] = 0
+        return mix(np.add.reduceat(term, starts) * _power(n, True)[starts]), bounds, starts
+    place = np.zeros(n, np.int64)
+    place[starts] = starts
+    place = np.arange(n) - np.maximum.accumulate(place)
+    place[blank] = 0
+    term *= _power(int(place.max()) + 1)[place]
     term[blank] = 0
-    return mix(np.add.reduceat(term, starts) * inverse[starts]), bounds, starts
+    return mix(np.add.reduceat(term, starts)), bounds, starts
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
