@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -137,6 +138,23 @@ def test_near_duplicates_edges(spark, edge, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_same_as_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    want = db.execute(queries.oracle_sql()["op2_near_duplicates"]).fetchall()
+    got = queries.op2_near_duplicates(spark, DATA).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    a, b = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"beta{i}" for i in range(40))
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df([(3, a), (5, a), (5, b), (9, b), (11, "x y z")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11)]
+    heads = minhash.text_groups(df([(2, a + " more"), (5, a), (5, b), (9, b), (9, None)])).collect()
+    assert sorted(((r.doc_id, r.head.doc_id if r.head else 0, r.n_shingles) for r in heads)) == [(2, 2, 37), (5, 2, 36), (5, 5, 36), (9, 0, 0), (9, 5, 36)]
+
+
 def test_signature_agreement_estimates_similarity():
     r = np.random.default_rng(1)
     for n, share in ((20, 0.8), (400, 0.8), (3000, 0.5)):
@@ -314,6 +332,27 @@ def test_fingerprints(spark):
         assert by_text.setdefault(t, rows[i].fingerprint) == rows[i].fingerprint
 
 
+def test_fingerprints_are_the_windows_minima(spark):
+    r = random.Random(6)
+    docs = [" ".join(r.choice("abcd") for _ in range(n)) for n in (0, 1, 4, 5, 6, 11, 12, 13, 60, 200)]
+    grams = [(i, p, w[p : p + 5]) for i, t in enumerate(docs) for w in [t.split()] for p in range(max(len(w) - 4, min(len(w), 1)))]
+    unit = [F.xxhash64(F.get("w", F.lit(k))) for k in range(5)]
+    unit = [F.when(F.size("w") > k, u) for k, u in enumerate(unit)]
+    hashed = spark.createDataFrame(grams, "i int, p int, w array<string>").select("i", "p", F.shiftrightunsigned(F.xxhash64(*unit), 33).alias("h"))
+    by = {}
+    for x in hashed.orderBy("i", "p").collect():
+        by.setdefault(x.i, []).append(x.h)
+    got = winnow.with_fingerprint(spark.createDataFrame(list(enumerate(docs)), "i int, text string"), "text", "fp").select("i", winnow.as_text("fp").alias("f")).collect()
+    for x in got:
+        h, want = by.get(x.i, []), []
+        for s in range(max(len(h) - 7, min(len(h), 1))):
+            w = h[s : s + 8]
+            at = s + max(k for k, v in enumerate(w) if v == min(w))
+            if at not in want:
+                want.append(at)
+        assert x.f == ",".join(f"{h[p]}:{p}" for p in want)
+
+
 def test_fingerprint_ties_go_right(spark):
     out = winnow.with_fingerprint(spark.createDataFrame([("a " * 30,), ("",), (None,), ("b",), ("漢字 かな",)], "text string"), "text", "fp").select(winnow.as_text("fp").alias("f")).collect()
     assert [x.split(":")[1] for x in out[0].f.split(",")] == [str(i) for i in range(7, 26)]
@@ -574,6 +613,50 @@ def test_lines_that_differ_in_numbers(spark):
     assert [x.n_dropped for x in out.orderBy("doc_id").collect()] == [0, 0, 0, 1, 0, 0, 0, 1]
 
 
+@pytest.mark.parametrize("edits_made", [1, 2])
+def test_lines_with_a_few_changed_words_are_found(spark, edits_made):
+    """Recall by lengths of 5 to 200 words, against edit similarity alone: each pair of a text's line and its changed copy."""
+    r = random.Random(edits_made)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8)))
+    often = [word() for _ in range(60)]
+    sizes = [n for n in (5, 6, 8, 9, 10, 12, 15, 20, 30, 40, 80, 120, 200) if 5 * edits_made <= n]
+    docs = []
+    for n in sizes * 15:
+        line = [r.choice(often) if r.random() < 0.6 else word() for _ in range(n)]
+        other = list(line)
+        for at in r.sample(range(n), edits_made):
+            other[at] = word() + "q"
+        docs += [" ".join(line), " ".join(other)]
+    out = {x.doc_id: x.n_dropped for x in lines.dedup_lines(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), distance=None).collect()}
+    assert [i for i in range(1, len(docs), 2) if not out[i]] == [] and not any(out[i] for i in range(0, len(docs), 2))
+
+
+def test_lines_of_large_families_with_many_edits_are_found(spark):
+    """What varies in a family's lines must not crowd out what they share: seven of 40 words differ in each of 300 copies."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(40)]
+    docs = []
+    for i in range(300):
+        w = list(base)
+        for at in r.sample(range(40), 4):
+            w[at] = word() + str(i)
+        docs.append((i, " ".join(w)))
+    out = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), distance=None)
+    assert out.filter("n_dropped = 0").count() == 1
+
+
+def test_lines_of_one_id_with_several_texts(spark):
+    names = ["_drops", "_of", "t", "Row", "drops", "key", "N_LINES"]
+    one, two, three = "first line of the one text", "second line of the other text", "third line is nowhere else"
+    rows = [(1, one), (2, f"{one}\n{two}"), (2, f"{three}\n{two}"), (3, f"short\n{two}")]
+    df = spark.createDataFrame([(*x, *["kept"] * len(names)) for x in rows], ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    out = lines.dedup_lines(df, distance=None)
+    assert out.filter("_drops = 'kept' and row = 'kept' and t = 'kept'").count() == 4 and out.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_dropped"]
+    got = sorted((x.doc_id, x.text) for x in out.collect())
+    assert got[0] == (1, one) and got[-1] == (3, "short") and sorted(t for i, t in got if i == 2) in (sorted([two, three]), sorted(["", f"{three}\n{two}"]))
+
+
 def test_line_tables_are_pigeonholes():
     for n in (1, 10**6, 10**8, 10**11):
         tables = lines.block_tables(n)
@@ -671,6 +754,29 @@ def test_shards_edges(spark, edge, none, tmp_path):
     assert written.count() == len(ROWS)
 
 
+def test_order_is_fixed_by_the_seed(spark):
+    df = spark.createDataFrame([(i if i % 5 else None, f"text {i}", "x", "y") for i in range(900)], "doc_id long, text string, Shard string, SLOT string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for parts, n in (("2", 1), ("7", 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        out = shards.shuffle_into_shards(df.repartition(n), 3, seed=5, bucket_rows=40)
+        assert out.columns == ["doc_id", "text", "shard", "slot"]
+        found.append(sorted((r.shard, r.slot, r.text) for r in out.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert found[0] == found[1] and len({t for _, _, t in found[0]}) == 900
+
+
+def test_permutation_is_fisher_and_yates(spark):
+    n, seeds = F.col("id").cast("int"), (F.lit(3), F.col("id"))
+    draws = F.transform(F.when(n > 1, F.sequence(n - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda i: F.pmod(F.xxhash64(*seeds, i), (i + 1).cast("long")).cast("int"))
+    for r in spark.range(1, 60).select("id", shards._permutation(n, *seeds).alias("p"), draws.alias("d")).collect():
+        want = list(range(r.id))
+        for i, j in zip(range(r.id - 1, 0, -1), r.d, strict=True):
+            want[i], want[j] = want[j], want[i]
+        assert r.p == want
+
+
 def test_shuffle_is_uniform(spark):
     """Where each of 6 rows of one bucket lands, over many seeds: each place about equally often."""
     df = spark.range(6).withColumnRenamed("id", "doc_id").coalesce(1)
