@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import langid, lines, minhash, neighbours, packing, pieces, secrets, shards, toxicity, winnow
+from helixlake.llm import audit, langid, lines, middles, minhash, neighbours, packing, pieces, secrets, shards, toxicity, winnow
 from helixlake.plans.staging import ship
 
 
@@ -81,8 +81,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged around a middle of whole lines, and rebuilt from that."""
+    return middles.fill_in_middle(_docs(spark, sf_dir).select("doc_id", "text"), outputs=False, digests=True)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language in every order."""
+    return audit.audit_filters(_docs(spark, sf_dir).select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op6_neighbours": op6_neighbours, "op7_language": op7_language, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op6_neighbours": op6_neighbours, "op7_language": op7_language, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op11_fill_in_middle": op11_fill_in_middle, "op13_filter_audit": op13_filter_audit}
 
 
 #: Exact links between all pairs of texts, then the smallest document that each reaches.
@@ -95,6 +105,20 @@ R AS (SELECT a AS x, b AS y FROM L UNION SELECT b, a FROM L UNION SELECT R.x, E.
 SELECT S.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(S.doc_id, min(y)), S.doc_id) AS component_id, coalesce(least(S.doc_id, min(y)), S.doc_id) = S.doc_id AS kept FROM S LEFT JOIN R ON R.x = S.doc_id GROUP BY S.doc_id, s"""
 
 
+#: Each document walked through each order of the filters, one at a time.
+_AUDIT = rf"""WITH T AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+W AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS head FROM T),
+D AS (SELECT part, concat(CASE WHEN len(w) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END, CASE WHEN 100 * (length(t) - length(translate(t, '{_LETTERS}', ''))) > 10 * length(t) THEN 'C' END,
+ CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN head < doc_id THEN 'E' END) AS fails,
+ doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM W),
+X AS (SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x)),
+O AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS o FROM X a, X b, X c, X d, X e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+G AS (SELECT part, o, fails, good, toxic, list_min([CAST(instr(o, x) AS INTEGER) FOR x IN string_split(fails, '') IF x <> '']) AS hit FROM D, O),
+R AS (SELECT part, o AS filter_order, CAST(s.s AS INTEGER) AS step, substr(o, s.s, 1) AS x, count(*) FILTER (WHERE hit IS NULL OR hit > s.s) AS kept, count(*) FILTER (WHERE hit = s.s) AS removed, count(*) FILTER (WHERE hit < s.s AND contains(fails, substr(o, s.s, 1))) AS redundant,
+ count(*) FILTER (WHERE fails = substr(o, s.s, 1)) AS unique_fails, count(*) FILTER (WHERE hit = s.s AND good) AS good_lost, count(*) FILTER (WHERE hit = s.s AND toxic) AS toxic_lost FROM G, (SELECT unnest([1, 2, 3, 4, 5]) AS s) s GROUP BY part, o, s.s)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM R"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL over whole tables, where it can express an operator's exact result."""
-    return {"op2_near_duplicates": _NEAR}
+    return {"op2_near_duplicates": _NEAR, "op13_filter_audit": _AUDIT}
