@@ -34,13 +34,17 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def unstage(df: DataFrame | None) -> None:
     """Delete the files of a staged table that no later step reads."""
     path = getattr(df, "_staged_at", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:
