@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import audit, langid, lines, middles, minhash, neighbours, packing, pieces, secrets, shards, toxicity, winnow
-from helixlake.plans.staging import ship
+from helixlake.llm import audit, idfiles, langid, lines, middles, minhash, neighbours, packing, pieces, secrets, shards, toxicity, winnow
+from helixlake.plans.staging import delete, shared_root, stage
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,13 +88,22 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middles.fill_in_middle(_docs(spark, sf_dir).select("doc_id", "text"), outputs=False, digests=True)
 
 
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written in compact files in order of doc_id, and read back from them."""
+    path = f"{shared_root(spark)}/helixlake/ids-{uuid.uuid4().hex}"
+    idfiles.write_ids(_docs(spark, sf_dir).select("doc_id", "text"), _tokenizer("word_bpe_49k.json"), path)
+    out = stage(idfiles.read_documents(spark, path), "ids-read")
+    delete(spark, path)
+    return out
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from each language in every order."""
     return audit.audit_filters(_docs(spark, sf_dir).select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op6_neighbours": op6_neighbours, "op7_language": op7_language, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op11_fill_in_middle": op11_fill_in_middle, "op13_filter_audit": op13_filter_audit}
+    return {"op1_toxicity": op1_toxicity, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_fingerprints": op4_fingerprints, "op5_sentencepiece": op5_sentencepiece, "op6_neighbours": op6_neighbours, "op7_language": op7_language, "op8_lines": op8_lines, "op9_packing": op9_packing, "op10_sharding": op10_sharding, "op11_fill_in_middle": op11_fill_in_middle, "op12_id_files": op12_id_files, "op13_filter_audit": op13_filter_audit}
 
 
 #: Exact links between all pairs of texts, then the smallest document that each reaches.
