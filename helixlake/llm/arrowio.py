@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 1 << 20):
@@ -22,3 +25,10 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 1 << 20):
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's values; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+def plainly_named(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns renamed that mapInArrow can't look up (dots and backticks in names), and what names a result's again."""
+    plain = {c: f"_plain_{i}" for i, c in enumerate(df.columns) if "." in c or "`" in c}
+    back = {v: c for c, v in plain.items()}
+    return df.toDF(*[plain.get(c, c) for c in df.columns]), lambda out: out.toDF(*[back.get(c, c) for c in out.columns])

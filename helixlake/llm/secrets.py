@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixlake.llm.arrowio import slices, texts
+from helixlake.llm.arrowio import plainly_named, slices, texts
 from helixlake.plans.staging import ship
 
 #: In this order where spans start at the same place.
@@ -20,9 +20,9 @@ KINDS = ("assign", "access", "hex", "token", "key")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-#: Any header that can hold {"alg":""} or more; three parts may start within three others.
-_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+))")
+#: Dotted parts; the first with what follows it. Possessive, and tried at the start of a run only, so that a run is read once for
+#: each place that it can have.
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)(?=\.([A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]++)(\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)?)")
 _PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:(?:\s|\\[rn])*[A-Za-z][A-Za-z0-9-]*:[^\n\\]*(?:\n|\\[rn]))*)([A-Za-z0-9+/=\s\\]+)-----END \1-----")
 #: How an encoded DER sequence or OpenSSH container starts, after whatever else, and what parts lines.
 _FIRST = re.compile(r"M[A-P](?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXkt(?=[A-Za-z0-9+/_-])")
@@ -30,14 +30,20 @@ _NEXT = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*(?=[A-Za-z0-9+/_-])")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 _PAD = re.compile(r"={0,2}")
 _HEX_KEY = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=0x))[0-9A-Fa-f]{64,}(?![0-9A-Za-z])")
-_CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Za-z0-9-]+,([0-9A-Fa-f]+)")
+_CIPHER = re.compile(r"DEK-Info:[ \t]*([A-Za-z0-9-]+),([0-9A-Fa-f]+)")
+#: Bytes that a key can have: RSA keys of 16,384 bits have some 9,000.
+MAX_KEY = 1 << 15
+#: Most parts of a key's outer sequence: the numbers of an RSA key of many primes.
+_PARTS = 10
+#: Schemes of password-based encryption, as object identifiers start.
+_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def unbase64(s: str) -> bytes | None:
     """Decode plain or URL-safe base64, padded or not; None if it is neither."""
     s = s.rstrip("=").replace("-", "+").replace("_", "/")
     try:
-        return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
+        return binascii.a2b_base64(s + "=" * (-len(s) % 4), strict_mode=True)
     except (binascii.Error, ValueError):
         return None
 
@@ -59,71 +65,114 @@ def _der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
-def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+def _start(letters: str) -> bytes:
+    """Decode letters that may end anywhere."""
+    return unbase64(letters[: len(letters) - (len(letters) % 4 == 1)]) or b""
+
+
+class Encoded:
+    """Bytes in base64 letters, of which only the first few and those asked for are decoded."""
+
+    def __init__(self, letters: str, at: int, length: int):
+        self.letters, self.at, self.length = letters, at, length
+        self.start = _start(letters[at : at + 128])[:length]
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, k):
+        if not isinstance(k, slice):
+            return self.start[k] if k < len(self.start) else self[k : k + 1][0]
+        a, b, _ = k.indices(self.length)
+        if b <= len(self.start):
+            return self.start[a:b]
+        if a >= b:
+            return b""
+        first = a // 3
+        return _start(self.letters[self.at + 4 * first : self.at + 4 * -(-b // 3)])[a - 3 * first : b - 3 * first]
+
+
+def _elements(data, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The DER elements from at to end; None if they don't fit, or are more than any key has."""
     out = []
     while at < end:
-        if not (e := _der(data, at, end)):
+        if len(out) == _PARTS or not (e := _der(data, at, end)):
             return None
         out.append(e)
         at = e[2]
     return out
 
 
-def is_private_key(data: bytes | None) -> bool:
-    """Whether the bytes are wholly one private key: PKCS#1, PKCS#8, SEC1 (DER, nested lengths all fitting) or the OpenSSH container."""
+_MAGIC = b"openssh-key-v1\0"
+
+
+def _container_length(data) -> int | None:
+    """Bytes of an OpenSSH container up to its private block's end, from the lengths that it tells: cipher, kdf, its options,
+    count, public keys, private block."""
+    at = len(_MAGIC)
+    for _ in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    count = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= count <= 16:
+        return None
+    for _ in range(count + 1):
+        if at > MAX_KEY or at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= MAX_KEY else None
+
+
+def is_private_key(data, at: int = 0, end: int | None = None) -> bool:
+    """Whether the bytes are wholly one private key: PKCS#1, PKCS#8, SEC1, DSA (DER, nested lengths all fitting, numbers of
+    possible sizes) or the OpenSSH container."""
     if not data:
         return False
-    magic = b"openssh-key-v1\0"
-    if data.startswith(magic):  # length-prefixed: cipher, kdf, kdf options, count, public keys, private block
-        at = len(magic)
-        for _ in range(3):
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        count = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        if not 1 <= count <= 16:
-            return False
-        for _ in range(count + 1):
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at == len(data)
-    top = _der(data, 0, len(data))
-    if not top or top[0] != 0x30 or top[2] != len(data) or not (parts := _elements(data, top[1], top[2])):
+    end = len(data) if end is None else end
+    if at == 0 and data[: len(_MAGIC)] == _MAGIC:
+        return _container_length(data) == end
+    top = _der(data, at, end)
+    if not top or top[0] != 0x30 or top[2] != end or not (parts := _elements(data, top[1], top[2])):
         return False
     tags = [t for t, _, _ in parts]
-    version = data[parts[0][1] : parts[0][2]]
-    if tags[:1] != [0x02] or version not in (b"\0", b"\1"):
+    sizes = [b - a for _, a, b in parts]
+    if tags[:1] != [0x02] or sizes[0] != 1 or (version := data[parts[0][1]]) > 1:
         return False
-    if len(tags) >= 9 and tags[:9] == [0x02] * 9:  # RSA numbers
-        return True
+    if tags[:9] == [0x02] * 9:  # RSA: the two primes make up the modulus
+        _, n, _, d, p, q = sizes[:6]
+        return tags[9:] in ([], [0x30]) and n >= 64 and d >= n // 4 and p + q >= n - 2 and min(p, q) >= n // 8
     if tags[1:3] == [0x30, 0x04]:  # algorithm, then the key's octets, then attributes and public key
-        return _is_algorithm(data, parts[1]) and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:]) and _is_inner_key(data[parts[2][1] : parts[2][2]])
-    if tags[1:2] == [0x04] and version == b"\1":  # curve key
-        return all(t in (0xA0, 0xA1) for t in tags[2:]) and 16 <= parts[1][2] - parts[1][1] <= 80
-    return len(tags) == 6 and tags == [0x02] * 6  # DSA numbers
+        return _is_algorithm(data, parts[1]) and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:]) and _is_inner_key(data, *parts[2][1:])
+    if tags[1:2] == [0x04] and version == 1:  # curve key
+        return all(t in (0xA0, 0xA1) for t in tags[2:]) and 16 <= sizes[1] <= 80
+    return tags == [0x02] * 6 and sizes[1] >= 64 and sizes[2] >= 16 and sizes[4] >= 32 and 8 <= sizes[5] <= sizes[2] + 1  # DSA
 
 
-def _is_algorithm(data: bytes, part: tuple[int, int, int]) -> bool:
+def _is_algorithm(data, part: tuple[int, int, int]) -> bool:
     inside = _elements(data, part[1], part[2])
     return bool(inside) and inside[0][0] == 0x06 and inside[0][2] > inside[0][1]
 
 
-def _is_inner_key(data: bytes) -> bool:
+def _is_inner_key(data, at: int, end: int) -> bool:
     """The octets of PKCS#8: a key of numbers or of a curve, the octets of an Edwards key, or one number."""
-    top = _der(data, 0, len(data))
-    if not top or top[2] != len(data):
+    top = _der(data, at, end)
+    if not top or top[2] != end:
         return False
     if top[0] == 0x30:
         parts = _elements(data, top[1], top[2])
-        return bool(parts) and parts[0][0] == 0x02 and (is_private_key(data) or all(t == 0x02 for t, _, _ in parts))
+        return bool(parts) and parts[0][0] == 0x02 and (is_private_key(data, at, end) or all(t == 0x02 for t, _, _ in parts) and parts[0][2] - parts[0][1] >= 16)
     return top[0] in (0x02, 0x04) and top[2] - top[1] >= 16
 
 
-def is_encrypted_key(data: bytes | None) -> bool:
-    """Whether the bytes are wholly an encrypted PKCS#8 key: an algorithm with parameters, then octets."""
+def is_encrypted_key(data, known: bool = False) -> bool:
+    """Whether the bytes are wholly an encrypted PKCS#8 key: an algorithm with parameters (with `known`, one of password-based
+    encryption), then octets."""
     top = _der(data, 0, len(data)) if data else None
     parts = _elements(data, top[1], top[2]) if top and top[0] == 0x30 and top[2] == len(data) else None
-    return bool(parts) and [t for t, _, _ in parts] == [0x30, 0x04] and _is_algorithm(data, parts[0]) and parts[1][2] - parts[1][1] >= 16
+    if not parts or [t for t, _, _ in parts] != [0x30, 0x04] or not _is_algorithm(data, parts[0]) or parts[1][2] - parts[1][1] < 16:
+        return False
+    name = _der(data, parts[0][1], parts[0][2])
+    return not known or any(data[name[1] : name[1] + len(x)] == x for x in _SCHEMES)
 
 
 def _opens(name: str, headers: str, data: bytes | None) -> bool:
@@ -131,84 +180,102 @@ def _opens(name: str, headers: str, data: bytes | None) -> bool:
     if "ENCRYPTED" in name:
         return is_encrypted_key(data)
     if "ENCRYPTED" in headers and (start := _CIPHER.search(headers)):
-        return bool(data) and len(start[1]) >= 16 and len(data) % 8 == 0
+        block = 16 if start[1].upper().startswith(("AES", "CAMELLIA", "ARIA", "SEED")) else 8
+        return bool(data) and len(start[2]) >= 16 and len(data) % block == 0 and 48 <= len(data) <= MAX_KEY
     return is_private_key(data)
 
 
+def _header(part: str) -> dict | None:
+    """The JSON object that a token's first part decodes to, if it names an algorithm."""
+    try:
+        found = json.loads(unbase64(part) or b"")
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) and isinstance(found.get("alg"), str) else None
+
+
 def is_signed_token(s: str) -> bool:
-    """Whether header and payload decode to JSON objects, the header names an algorithm, and a signature follows."""
+    """Whether the header decodes to a JSON object that names an algorithm, and payload (of any kind) and signature decode."""
     head, body, sign = s.split(".")[:3]
-    found = []
-    for part in (head, body):
-        try:
-            found.append(json.loads(unbase64(part) or b""))
-        except (ValueError, RecursionError):
-            return False
-    return all(isinstance(x, dict) for x in found) and isinstance(found[0].get("alg"), str) and bool(unbase64(sign))
-
-
-def key_length(data: bytes) -> int | None:
-    """How many bytes the private key has that starts so (its first dozen in DER; all up to its private block in the OpenSSH
-    container); None if none does."""
-    magic = b"openssh-key-v1\0"
-    if data.startswith(magic):
-        at = len(magic)
-        for _ in range(3):
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        count = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        for _ in range(count + 1 if 1 <= count <= 16 else 0):
-            if at + 4 > len(data):
-                return None
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at
+    return _header(head) is not None and bool(unbase64(body)) and bool(unbase64(sign))
+
+
+def is_sealed_token(s: str) -> bool:
+    """Whether five parts are an encrypted token: a header that also names the encryption, a key (empty, where it is agreed),
+    and vector, text and tag that all decode."""
+    head, key, *rest = s.split(".")
+    found = _header(head)
+    return found is not None and isinstance(found.get("enc"), str) and (not key or bool(unbase64(key))) and len(rest) == 3 and all(map(unbase64, rest)) and len(unbase64(rest[2])) >= 8
+
+
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of signed and encrypted tokens. A token may follow other letters at once where its header starts as {" does."""
+    out = []
+    for m in _DOTTED.finditer(text):
+        jumps = {m.start(1), m.start(1) + at if (at := m[1].find("eyJ")) > 0 else m.start(1)}
+        for at in sorted(jumps):
+            if m[4] and is_sealed_token(text[at : m.end(4)]):
+                out.append((at, m.end(4)))
+            elif m[2] and is_signed_token(text[at : m.end(3)]):
+                out.append((at, m.end(3)))
+    return out
+
+
+def key_length(data) -> int | None:
+    """How many bytes the private key has that starts so (in DER its first dozen count, in the OpenSSH container the lengths of
+    its parts); None if none does, or none of MAX_KEY bytes or less."""
+    if data[: len(_MAGIC)] == _MAGIC:
+        return _container_length(data)
     n = data[1] if len(data) > 1 else 0
     k = n & 0x7F if n & 0x80 else 0
     at = 2 + k
-    if data[:1] != b"\x30" or k > 4 or data[at : at + 3] not in (b"\2\1\0", b"\2\1\1"):
+    if data[:1] != b"\x30" or k > 4 or data[at : at + 3] not in (b"\2\1\0", b"\2\1\1") and data[at : at + 1] != b"\x30":
         return None
-    return at + (int.from_bytes(data[2:at], "big") if k else n)
+    n = at + (int.from_bytes(data[2:at], "big") if k else n)
+    return n if n <= MAX_KEY else None
 
 
 def encoded_keys(text: str) -> list[tuple[int, int]]:
-    """Spans of base64 keys, on one line or over several. Each kind of key tells its length, so what follows it doesn't count."""
+    """Spans of base64 keys, on one line or over several. Each kind of key tells its length, so what follows it doesn't count.
+
+    Lines of letters that go on are joined once, for all places in them where a key may start; at each place only the bytes
+    that tell a key's lengths are decoded, so time is linear in the text whatever it holds.
+    """
     out = []
-    done = 0
+    done = end = 0
+    letters, starts, offsets = "", [], []
     for m in _FIRST.finditer(text):
-        if m.start() < done:
-            continue
-        container = m[0].startswith("b3Bl")
-        n = None if container else key_length(unbase64(text[m.start() : m.start() + 16]) or b"")
-        if n is None and not container:
+        at = m.start()
+        if at < done:
             continue
-        need = None if n is None else (4 * n + 2) // 3
-        if need is not None and need > len(text) - m.start():
+        if at >= end:
+            parts, starts, offsets, have, end = [], [], [], 0, at
+            while run := _RUN.match(text, end):
+                parts.append(run[0])
+                starts.append(run.start())
+                offsets.append(have)
+                have += len(run[0])
+                end = run.end()
+                more = _NEXT.match(text, end)
+                if not more:
+                    break
+                end = more.end()
+            letters = "".join(parts)
+        line = bisect_right(starts, at) - 1
+        offset = offsets[line] + at - starts[line]
+        room = (len(letters) - offset) * 3 // 4
+        head = _start(letters[offset : offset + 20])  # 15 bytes: enough for a DER key
+        n = key_length(Encoded(letters, offset, room) if head == _MAGIC else head)
+        if not n or n > room:
             continue
-        parts, have, at = [], 0, m.start()
-        while need is None or have < need:
-            run = _RUN.match(text, at)
-            if not run:
-                break
-            parts.append((at, run[0]))
-            have += len(run[0])
-            at = run.end()
-            more = _NEXT.match(text, at)
-            if not more:
-                break
-            at = more.end()
-        joined = "".join(p for _, p in parts)
-        if container:
-            n = key_length(unbase64(joined[: len(joined) // 4 * 4]) or b"")
-            need = 0 if n is None else (4 * n + 2) // 3
-        if not 0 < need <= len(joined) or not is_private_key(unbase64(joined[:need])):
+        key = Encoded(letters, offset, n)
+        sealed = head[0] == 0x30 == head[2 + (head[1] & 0x7F if head[1] & 0x80 else 0)]
+        if not (is_encrypted_key(key, known=True) if sealed else is_private_key(key)):
             continue
-        before = 0
-        for at, p in parts:
-            if before + len(p) >= need:
-                done = _PAD.match(text, at + need - before).end()
-                out.append((m.start(), done))
-                break
-            before += len(p)
+        last = offset + (4 * n + 2) // 3 - 1
+        line = bisect_right(offsets, last) - 1
+        done = _PAD.match(text, starts[line] + last - offsets[line] + 1).end()
+        out.append((at, done))
     return out
 
 
@@ -222,9 +289,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    if "eyJ" in text:
-        spans += [("token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
-    spans += [("token", *m.span(1)) for m in _DOTTED.finditer(text) if is_signed_token(m[1])]
+    spans += [("token", *t) for t in tokens(text)] if "." in text else []
     keys = []
     if "PRIVATE KEY-----" in text:
         keys += [m.span() for m in _PEM.finditer(text) if _opens(m[1], m[2], unbase64(re.sub(r"\\[rn]|\s", "", m[3])))]
@@ -269,11 +334,11 @@ def find_secrets(docs: DataFrame, redacting: bool = False) -> DataFrame:
     named spans or redacted are replaced); an empty table gives an empty result. Whole texts are scanned.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("spans", "redacted")
+    docs, named = plainly_named(docs.drop("spans", "redacted"))
     names = [c for c in docs.columns if c != "text"]
     added = T.StructType.fromDDL("spans array<struct<kind:string,start:bigint,end:bigint>>" + ", redacted string" * redacting)
     schema = T.StructType(docs.select(*names).schema.fields + added.fields)
-    return docs.mapInArrow(_scan(names, redacting), schema)
+    return named(docs.mapInArrow(_scan(names, redacting), schema))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
