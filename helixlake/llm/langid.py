@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixlake.llm.arrowio import slices, texts
+from helixlake.llm.arrowio import plainly_named, slices, texts
 from helixlake.llm.textkit import U64, mix
 from helixlake.plans.staging import ship
 
+#: Languages learned at most.
+LANGUAGES = 200
 #: Learning reads longer runs of letters in parts of so many. Predictions sum over whole runs, of any length.
 LEARNED_RUN = 40
 #: Places whose pieces are looked up together, so that a run of any length takes bounded memory.
@@ -221,21 +223,35 @@ def train(docs: DataFrame, vocabulary: list[str], per_language: int = 500) -> Mo
     """A model from docs (doc_id, text, lang), without null languages or texts; None if nothing is left.
 
     It is fitted on about `per_language` documents of each language (all, where there are fewer), chosen by a hash of
-    doc_id: the only bound of this operator, and independent of the input's size. Their runs of letters are read in parts of
-    LEARNED_RUN. The model has all lower-cased pieces of letters that the vocabulary has.
+    doc_id, and on the LANGUAGES most frequent languages (ties by name): the only bounds of this operator, both independent
+    of the input's size. Tasks count the sample's runs of letters, read in parts of LEARNED_RUN; the driver gets the counts.
+    The model has all lower-cased pieces of letters that the vocabulary has.
     """
+    ship(docs.sparkSession)
     docs = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r[0]: r[1] for r in found.collect()}  # a row for each language
+    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = {r[0]: r[1] for r in found.collect()}
     if not sizes:
         return None
     share = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) / 1e6
+    known = docs.sparkSession.createDataFrame(list(sizes.items()), "lang string, n long")  # LANGUAGES rows at most
+    some = docs.join(F.broadcast(known), "lang").filter(share * F.col("n") < per_language).select("lang", "text")
     counts: dict[str, Counter] = {g: Counter() for g in sizes}
-    for r in docs.join(F.broadcast(found), "lang").filter(share * F.col("n") < per_language).select("lang", "text").toLocalIterator():
-        counts[r.lang].update(_PARTS.findall(r.text.lower()))
+    counted = some.mapInArrow(_count_parts, "lang string, part string, n long").groupBy("lang", "part").agg(F.sum("n"))
+    for g, part, k in sorted(counted.collect()):  # in one order, so that the sums of the fit are the same each time
+        counts[g][part] = k
     return fit(Pieces(vocabulary), counts, sizes)
 
 
+def _count_parts(batches):
+    for batch in batches:
+        for some in slices(batch):
+            got: dict[tuple[str, str], int] = Counter()
+            for g, t in zip(some.column("lang").to_pylist(), some.column("text").to_pylist(), strict=True):
+                got.update((g, x) for x in _PARTS.findall(t.lower()))
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.string()), pa.array([x for _, x in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["lang", "part", "n"])
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs' columns without text, with lang_pred string and score double (the language's posterior).
 
@@ -244,9 +260,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     empty result. Whole texts are scored.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs, named = plainly_named(docs.drop("lang_pred", "score"))
     names = [c for c in docs.columns if c != "text"]
     if model is None:
-        return docs.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return named(docs.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")))
     schema = T.StructType(docs.select(*names).schema.fields + T.StructType.fromDDL("lang_pred string, score double").fields)
-    return docs.mapInArrow(_predict(model, names), schema)
+    return named(docs.mapInArrow(_predict(model, names), schema))

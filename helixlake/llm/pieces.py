@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from helixlake.llm.arrowio import slices, texts
+from helixlake.llm.arrowio import plainly_named, slices, texts
 from helixlake.plans.staging import ship
 
 SPACE = "▁"
@@ -290,8 +290,8 @@ def encode_decode(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = (
     from pyspark.sql import types as T
 
     ship(docs.sparkSession)
-    docs = docs.drop(*outputs)
+    docs, named = plainly_named(docs.drop(*outputs))
     names = [c for c in docs.columns if c != "text"]
     ddl = {"ids": "array<int>", "n_tokens": "long"}
     schema = T.StructType(docs.select(*names).schema.fields + T.StructType.fromDDL(", ".join(f"{o} {ddl.get(o, 'string')}" for o in outputs)).fields)
-    return docs.mapInArrow(_code(model_path, names, tuple(outputs)), schema)
+    return named(docs.mapInArrow(_code(model_path, names, tuple(outputs)), schema))

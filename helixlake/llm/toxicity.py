@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixlake.llm.arrowio import slices, texts
+from helixlake.llm.arrowio import plainly_named, slices, texts
 from helixlake.plans.staging import ship
 
 #: Labelled documents that the classifier is fitted on, at most about so many of each label (by a hash of doc_id).
@@ -295,10 +295,10 @@ def predict(docs: DataFrame, tagger: Tagger | None, spans: bool = True) -> DataF
     result. Whole texts are one chain each.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("score", "predicted", "spans")
+    docs, named = plainly_named(docs.drop("score", "predicted", "spans"))
     added = "score double, predicted int" + ", spans array<struct<start:bigint,end:bigint>>" * spans
     schema = T.StructType(docs.schema.fields + T.StructType.fromDDL(added).fields)
     if tagger is None:
         extra = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(schema.fields[-1].dataType).alias("spans")]
-        return docs.select("*", *extra[: 2 + spans])
-    return docs.mapInArrow(_score(tagger, docs.columns, spans), schema)
+        return named(docs.select("*", *extra[: 2 + spans]))
+    return named(docs.mapInArrow(_score(tagger, docs.columns, spans), schema))

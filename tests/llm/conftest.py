@@ -16,12 +16,12 @@ ROWS = [
     (-5, "a b c d e f g h i j k l m n o p q r s t", "es"),
     (10, "a b c d e f g h i j k l m n o p q r s T", "es"),
 ]
-EXTRA = ["score", "spans", "shard", "slot", "bucket", "key", "part", "comp", "n", "row", "line", "length", "lang_pred", "predicted"]
+EXTRA = ["score", "spans", "shard", "slot", "bucket", "key", "part", "comp", "n", "row", "line", "length", "lang_pred", "predicted", "a.b"]
 
 
 @pytest.fixture(scope="session")
 def edge(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
     rows = [(i, t, g, None, None if t is None else len(t), *["kept"] * len(EXTRA)) for i, t, g in ROWS]
     return spark.createDataFrame(rows, schema)
 
