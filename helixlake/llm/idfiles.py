@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from helixlake.llm import mixcoder
 from helixlake.llm.arrowio import slices, texts
 from helixlake.llm.packing import WordIds
-from helixlake.plans.staging import ship
+from helixlake.plans.staging import ship, stage
 
 #: Bytes of text, about, whose ids go into one file: the work of one task.
 FILE_BYTES = 32 << 20
@@ -208,17 +208,18 @@ def _before(counts: DataFrame, group: int = 4096) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A row for each document of the files: doc_id, start (ids of all documents before it), n_tokens and ids_crc32 (of its ids as
-    little-endian unsigned 32-bit integers). Checksums of long documents are joined from those of their pieces, not from ids."""
+    little-endian unsigned 32-bit integers). Checksums of long documents are joined from those of their pieces, not from ids.
+    All files are decoded once, now; what the result reads is a row for each piece, staged in the shared folder."""
 
     @pandas_udf("long")
     def together(parts: pd.Series) -> pd.Series:
         return pd.Series([joined_crc([(p["ids_crc32"], 4 * p["n_tokens"]) for p in some]) for some in parts], dtype="int64")
 
-    pieces = read_pieces(spark, path)
+    pieces = stage(read_pieces(spark, path), "id-pieces")
     cut = F.col("marks").bitwiseAND(BEGAN | GOES_ON) != 0
     whole = pieces.filter(~cut).select("file", "doc_id", "first", "n_tokens", "ids_crc32")
     parts = F.sort_array(F.collect_list(F.struct("first", "n_tokens", "ids_crc32")))
     long = pieces.filter(cut).groupBy("file", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.sum("n_tokens").alias("n_tokens"), parts.alias("parts"))
     long = long.select("file", "doc_id", "first", "n_tokens", together("parts").alias("ids_crc32"))
-    bases = _before(spark.read.schema(_FILE).parquet(path).groupBy("file").agg(F.sum("n").alias("n")))
+    bases = _before(pieces.groupBy("file").agg(F.sum("n_tokens").alias("n")))
     return whole.unionByName(long).join(bases, "file").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm import audit, idfiles, langid, lines, middles, minhash, neighbours, packing, pieces, secrets, shards, toxicity, winnow
-from helixlake.plans.staging import delete, shared_root, stage
+from helixlake.plans.staging import delete, shared_root
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written in compact files in order of doc_id, and read back from them."""
     path = f"{shared_root(spark)}/helixlake/ids-{uuid.uuid4().hex}"
     idfiles.write_ids(_docs(spark, sf_dir).select("doc_id", "text"), _tokenizer("word_bpe_49k.json"), path)
-    out = stage(idfiles.read_documents(spark, path), "ids-read")
+    out = idfiles.read_documents(spark, path)
     delete(spark, path)
     return out
 
