@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 #: Region classes in order of their ids, the first being the default.
 CLASSES = ["unique", "SD", "ct", "mon", "dhor", "hor", "hor_active", "bsat", "gsat", "hsat1A", "hsat1B", "hsat2", "hsat3", "censat", "rDNA"]
 #: Subjects by lineage, shallow to deep, with approximate divergence times in million years.
@@ -24,12 +23,6 @@ def bases(raw: Column) -> Column:
     return F.regexp_replace(F.translate(packed, "acgt", "ACGT"), "[^ACGT]", "N")
 
 
-def text_bases(text: Column, letters_only: bool = False) -> Column:
-    """Any text as a sequence: a to z stand for A, C, G, T in turn; what else is visible is N, or is left out."""
-    coded = F.translate(F.lower(text), ALPHABET, "ACGT" * 6 + "AC")
-    return F.regexp_replace(coded, "[^ACGT]", "") if letters_only else F.regexp_replace(F.regexp_replace(coded, r"[\x00-\x20]", ""), "[^ACGT]", "N")
-
-
 def reverse_complement(seq: Column) -> Column:
     """Of letters, as BINARY; N stays."""
     return F.reverse(F.translate(seq.cast("string"), "ACGT", "TGCA")).cast("binary")

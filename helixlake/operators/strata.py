@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.operators.kmers import EXACT, kmers, spectrum
-from helixlake.plans.staging import stage
+from helixlake.operators.kmers import EXACT, bloom, key_columns, keys, pieces, spectrum
 
 CAP = 255
-#: Distinct query k-mers up to which the small-query plan broadcasts them.
-BROADCAST_KEYS = 2_000_000
 
 
 def _check(subjects: Sequence[str]) -> None:
@@ -20,44 +17,50 @@ def _check(subjects: Sequence[str]) -> None:
         raise ValueError("at most 8 subjects, each once")
 
 
-def _bits(subjects: Sequence[str]):
-    bit = F.lit(0)
-    for i, s in enumerate(subjects):
-        bit = F.when(F.col("genome") == s, 1 << i).otherwise(bit)
-    return bit
+def subject_bit() -> Column:
+    """The bit of a tagged k-mer: tag 0 is the query, which has none, tag 1 the first subject."""
+    return F.expr("CASE WHEN tag = 0 THEN 0 ELSE shiftleft(1, tag - 1) END")
 
 
-def tagged(contigs: DataFrame, query: str, subjects: Sequence[str], k: int) -> DataFrame:
-    """(key, mult_full, pres) of each distinct query k-mer: one aggregation over the k-mers of all genomes, whose
+def tagged(cut: DataFrame, query: str, subjects: Sequence[str], ks: Sequence[int], several: bool, only=None) -> DataFrame:
+    """(key columns, mult_full, pres) of each distinct query k-mer: one aggregation over the k-mers of all genomes and k, whose
     partial sums take the copies of frequent k-mers together before the exchange."""
-    rows = kmers(contigs.filter(F.col("genome").isin(query, *subjects)), k)
-    is_query = (F.col("genome") == query).cast("long")
-    rows = rows.select("key", is_query.alias("q"), _bits(subjects).alias("bit"))
-    return rows.groupBy("key").agg(F.sum("q").alias("mult_full"), F.bit_or("bit").alias("pres")).filter("mult_full > 0")
+    rows = keys(cut, ks, genomes=[query, *subjects], places=False, several=several, only=only)
+    by = key_columns(ks, several)
+    rows = rows.select(*by, (F.col("tag") == 0).cast("long").alias("q"), subject_bit().alias("bit"))
+    return rows.groupBy(*by).agg(F.sum("q").alias("mult_full"), F.bit_or("bit").alias("pres")).filter("mult_full > 0")
+
+
+def _capped(rows: DataFrame, own: bool, *more: str) -> DataFrame:
+    full = F.col("mult_full") if own else F.lit(0).cast("long")
+    return rows.select(*more, "contig_id", "lpos", "pos", F.col("pres").cast("int").alias("pres"), F.least(full, F.lit(CAP)).cast("int").alias("mult"), full.alias("mult_full"))
+
+
+def strata_ladder(contigs: DataFrame, query: str, subjects: Sequence[str], ks: Sequence[int], stride: int = 1, own: bool = True) -> DataFrame:
+    """`strata` of every k at once, with a column k: the bases are read and dealt once, and the k-mers of all k go through one
+    aggregation and one join, by k and key."""
+    _check(subjects)
+    cut = pieces(contigs.filter(F.col("genome").isin(query, *subjects)), ks)
+    at = keys(cut, ks, stride, genomes=[query], several=True).drop("tag")
+    return _capped(at.join(tagged(cut, query, subjects, ks, True), key_columns(ks, True)), own, "k")
 
 
 def strata(contigs: DataFrame, query: str, subjects: Sequence[str], k: int, stride: int = 1, own: bool = True, small_query: bool = False) -> DataFrame:
     """(contig_id, lpos, pos, pres, mult, mult_full) of each valid sampled query position.
 
     pres has bit i set where subject i holds the k-mer on either strand; mult_full counts it over all query positions
-    (not only sampled ones), mult is that up to 255. With own=False both are 0. With small_query the query's distinct
-    k-mers, counted first, filter the subjects' by a broadcast, so that subjects' k-mers are not shuffled.
+    (not only sampled ones), mult is that up to 255. With own=False both are 0. With small_query a Bloom filter of the
+    query's k-mers, made first, keeps nearly all that it lacks from leaving the tasks that cut subjects' k-mers; the exact
+    aggregation follows, so results are the same. The filter is as large as the query asks, up to a bound.
     """
     _check(subjects)
-    at = kmers(contigs.filter(F.col("genome") == query), k, stride).drop("genome")
+    cut = pieces(contigs.filter(F.col("genome").isin(query, *subjects)), [k])
+    at = keys(cut, [k], stride, genomes=[query], several=False).drop("tag")
+    only = None
     if small_query:
-        everywhere = kmers(contigs.filter(F.col("genome") == query), k)
-        counts = stage(everywhere.groupBy("key").agg(F.count(F.lit(1)).alias("mult_full")), "counts")
-        few = counts.count() <= BROADCAST_KEYS
-        build = F.broadcast(counts.select("key")) if few else counts.select("key")
-        found = kmers(contigs.filter(F.col("genome").isin(*subjects)), k).select("key", _bits(subjects).alias("bit")).join(build, "key", "left_semi")
-        pres = found.groupBy("key").agg(F.bit_or("bit").alias("pres"))
-        table = counts.join(pres, "key", "left").withColumn("pres", F.coalesce("pres", F.lit(0)))
-    else:
-        table = tagged(contigs, query, subjects, k)
-    full = F.col("mult_full") if own else F.lit(0).cast("long")
-    out = at.join(table, "key")
-    return out.select("contig_id", "lpos", "pos", F.col("pres").cast("int").alias("pres"), F.least(full, F.lit(CAP)).cast("int").alias("mult"), full.alias("mult_full"))
+        long = contigs.filter(F.col("genome") == query).agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+        only = bloom(keys(cut, [k], genomes=[query], places=False, several=False), long)
+    return _capped(at.join(tagged(cut, query, subjects, [k], False, only), key_columns([k])), own)
 
 
 def dense(rows: DataFrame, contigs: DataFrame, query: str, stride: int = 1, block: int = 1 << 16) -> DataFrame:
@@ -76,16 +79,17 @@ def subject_stats(contigs: DataFrame, query: str, subjects: Sequence[str], k: in
     """Per subject: its length, distinct k-mers (with small_query only those shared), and shared distinct sampled query
     k-mers and positions."""
     _check(subjects)
-    rows = kmers(contigs.filter(F.col("genome").isin(query, *subjects)), k)
-    sampled = ((F.col("genome") == query) & (F.col("pos") % stride == 0)).cast("long")
-    rows = rows.select("key", (F.col("genome") == query).cast("long").alias("q"), sampled.alias("s"), _bits(subjects).alias("bit"))
-    keys = rows.groupBy("key").agg(F.sum("q").alias("q"), F.sum("s").alias("s"), F.bit_or("bit").alias("pres"))
+    cut = pieces(contigs.filter(F.col("genome").isin(query, *subjects)), [k])
+    rows = keys(cut, [k], genomes=[query, *subjects], places=False, several=False, sample=stride)
+    sampled = ((F.col("tag") == 0) & F.col("sampled")).cast("long")
+    rows = rows.select(*key_columns([k]), (F.col("tag") == 0).cast("long").alias("q"), sampled.alias("s"), subject_bit().alias("bit"))
+    by_key = rows.groupBy(*key_columns([k])).agg(F.sum("q").alias("q"), F.sum("s").alias("s"), F.bit_or("bit").alias("pres"))
     if small_query:
-        keys = keys.filter("q > 0")
+        by_key = by_key.filter("q > 0")
     sizes = contigs.groupBy(F.col("genome").alias("subject")).agg(F.sum("len").alias("length"))
     one = F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), F.when(F.col("pres").bitwiseAND(1 << i) != 0, 1).otherwise(0).alias("has")) for i, s in enumerate(subjects)])).alias("x")
     # collapse to patterns first: 256 rows a task go through the exchange
-    few = keys.groupBy("pres").agg(F.count(F.lit(1)).alias("d"), F.sum((F.col("s") > 0).cast("long")).alias("sd"), F.sum("s").alias("se"))
+    few = by_key.groupBy("pres").agg(F.count(F.lit(1)).alias("d"), F.sum((F.col("s") > 0).cast("long")).alias("sd"), F.sum("s").alias("se"))
     per = few.select("d", "sd", "se", one).filter("x.has = 1").groupBy("x.subject").agg(F.sum("d").alias("distinct_kmers"), F.sum("sd").alias("shared_distinct"), F.sum("se").alias("shared_entries"))
     names = contigs.sparkSession.createDataFrame([(i, s) for i, s in enumerate(subjects)], "bit int, subject string")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -95,10 +99,12 @@ def subject_stats(contigs: DataFrame, query: str, subjects: Sequence[str], k: in
 def run_meta(contigs: DataFrame, query: str, subjects: Sequence[str], k: int, stride: int = 1) -> DataFrame:
     """One row describing a run: lengths, counts, subjects and the query's histogram of multiplicities."""
     own = contigs.filter(F.col("genome") == query)
+    cut = pieces(own, [k])
     named = lambda df: df.withColumn("query", F.lit(query))
     total = named(own.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("query_length")))
-    valid = named(kmers(own, k, stride).agg(F.count(F.lit(1)).alias("valid_entries")))
-    bins = named(spectrum(kmers(own, k)).agg(F.sort_array(F.collect_list(F.struct("mult", "kmers"))).alias("self_histogram"), F.coalesce(F.sum("kmers"), F.lit(0)).alias("query_distinct")))
+    valid = named(keys(cut, [k], stride, genomes=[query], places=False).agg(F.count(F.lit(1)).alias("valid_entries")))
+    bins = spectrum(keys(cut, [k], genomes=[query], places=False), by=("tag",), key=key_columns([k]))
+    bins = named(bins.agg(F.sort_array(F.collect_list(F.struct("mult", "kmers"))).alias("self_histogram"), F.coalesce(F.sum("kmers"), F.lit(0)).alias("query_distinct")))
     stats = named(subject_stats(contigs, query, subjects, k, stride).agg(F.sort_array(F.collect_list(F.struct("bit", "subject", "length", "distinct_kmers", "shared_distinct", "shared_entries"))).alias("subjects")))
     head = total.select("query", F.lit(k).alias("k"), F.lit(stride).alias("stride"), F.lit("exact" if k <= EXACT else "hash128").alias("mode"), "query_length", F.expr(f"(query_length + {stride - 1}) div {stride}").alias("n_entries"))
     return head.join(valid, "query").join(bins, "query").join(stats, "query")

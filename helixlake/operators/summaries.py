@@ -15,9 +15,9 @@ from pyspark.sql.window import Window
 from helixlake.functions.sequence import CLASSES, LINEAGES, age_index, age_label, copy_bin, has_any, has_bit, mask_of
 
 
-def cube(painted: DataFrame) -> DataFrame:
-    """(class, pres, mult, n) over painted rows: at most classes x 256 x 256 rows, whatever the genome."""
-    return painted.groupBy("class", "pres", "mult").agg(F.count(F.lit(1)).alias("n"))
+def cube(painted: DataFrame, *by: str) -> DataFrame:
+    """(class, pres, mult, n) over painted rows: at most classes x 256 x 256 rows, whatever the genome; for each value of `by`."""
+    return painted.groupBy(*by, "class", "pres", "mult").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _sum(condition: Column | None = None) -> Column:
@@ -25,9 +25,10 @@ def _sum(condition: Column | None = None) -> Column:
     return F.coalesce(F.sum(n), F.lit(0)).cast("long")
 
 
-def with_total(df: DataFrame, by: str, aggs: Sequence[Column], total: str = "ALL") -> DataFrame:
-    """df grouped by a column, with a row of totals."""
-    rolled = df.rollup(by).agg(F.grouping(by).alias("_g"), *aggs)
+def with_total(df: DataFrame, by: str, aggs: Sequence[Column], total: str = "ALL", within: Sequence[str] = ()) -> DataFrame:
+    """df grouped by a column, with a row of totals (for each value of `within`)."""
+    each = [F.col(c) for c in within]
+    rolled = df.groupingSets([[*each, F.col(by)], each], *each, F.col(by)).agg(F.grouping(by).alias("_g"), *aggs)
     return rolled.withColumn(by, F.when(F.col("_g") == 1, total).otherwise(F.col(by))).drop("_g")
 
 
@@ -42,15 +43,16 @@ def sharing_columns(subjects: Sequence[str]) -> dict[str, Column]:
     return out | {"human_specific": human, "chm13_only": F.col("pres") == 0, "ape_any": has_any(F.col("pres"), apes(subjects), subjects)}
 
 
-def class_sharing(cells: DataFrame, subjects: Sequence[str], every_class: bool = False) -> DataFrame:
-    """Per class and in all: valid positions, those shared with each subject and with sets of them, single and multiple."""
+def class_sharing(cells: DataFrame, subjects: Sequence[str], *by: str, every_class: bool = False) -> DataFrame:
+    """Per class and in all (for each value of `by`): valid positions, those shared with each subject and with sets of them,
+    single and multiple."""
     valid = cells.filter("mult > 0")
     if every_class:
         spark = cells.sparkSession
         valid = valid.unionByName(spark.createDataFrame([(c, 0, 0, 0) for c in CLASSES], "class string, pres int, mult int, n long"))
     c = sharing_columns(subjects)
     aggs = [_sum().alias("valid_positions"), *[_sum(c[s]).alias(f"shared_{s}") for s in subjects], *[_sum(c[x]).alias(x) for x in ("human_specific", "chm13_only", "ape_any")], _sum(F.col("mult") == 1).alias("unique_in_query"), _sum(F.col("mult") > 1).alias("multi_in_query")]
-    return with_total(valid, "class", aggs)
+    return with_total(valid, "class", aggs, within=by)
 
 
 def age_table(cells: DataFrame, subjects: Sequence[str]) -> DataFrame:

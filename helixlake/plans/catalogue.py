@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from helixlake.functions.sequence import CLASSES, COPY_BINS, FAMILIES, LINEAGES, has_bit, region_class, share
 from helixlake.operators import align, arrays, intervals, ladder, segments, strata, summaries
-from helixlake.operators.kmers import kmers, spectrum
+from helixlake.operators.kmers import keys, kmers, pieces, spectra
 from helixlake.plans.staging import shared_root
 from helixlake.sources import sinks
 from helixlake.sources.genome import from_texts, index, only, prepared, read_bed, read_fasta, read_paf
@@ -30,10 +30,10 @@ LADDER, STRIDE = sorted({*ladder.RUN_LADDER, 31}), 8
 PAINT = [("SD", (1, 5), (1, 2)), ("ct", (2, 5), (3, 5)), ("hor_active", (1, 2), (11, 20)), ("hor_active", (3, 5), (13, 20)), ("hsat3", (4, 5), (9, 10))]
 
 
-def contigs(spark: SparkSession, sf_dir: str, letters_only: bool = False, include: str | None = None) -> DataFrame:
+def contigs(spark: SparkSession, sf_dir: str, letters_only: bool = False, include: str | None = None, starts: bool = True) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     genome = F.get(F.array(*map(F.lit, GENOMES)), (F.substring("source", 4, 10).cast("int") % 8))
-    return from_texts(docs, genome, F.col("doc_id"), F.col("text"), letters_only, include)
+    return from_texts(docs, genome, F.col("doc_id"), F.col("text"), letters_only, include, starts)
 
 
 def query_contigs(c: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def query(name: str, sql: str | None):
 @query("q_base_composition", f"WITH {sql_contigs()} SELECT genome, base, count(*) AS n FROM (SELECT genome, unnest(string_split(s, '')) AS base FROM O) WHERE base <> '' GROUP BY genome, base")
 def base_composition(spark, d):
     """Bases of each genome."""
-    c = contigs(spark, d)
+    c = contigs(spark, d, starts=False)
     n = lambda b: (F.col("len") - F.length(F.replace(F.col("seq").cast("string"), F.lit(b)))).alias("n")
     each = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), n(b)) for b in "ACGTN"])).alias("x")
     return c.select("genome", each).groupBy("genome", "x.base").agg(F.sum("x.n").alias("n")).filter("n > 0")
@@ -188,7 +188,7 @@ def include_filter(spark, d):
 
 
 def _spectrum(spark, d, k):
-    return spectrum(kmers(contigs(spark, d), k))
+    return spectra(contigs(spark, d, starts=False), [k], GENOMES).drop("k")
 
 
 for _k in (16, 21, 31):
@@ -255,9 +255,9 @@ def run_meta(spark, d):
 @query("q_private_kmers", f"WITH {sql_contigs()}, {sql_kmers(21)} SELECT contig_id, count(*) AS private FROM K WHERE genome = '{QUERY}' AND key NOT IN (SELECT key FROM K WHERE genome <> '{QUERY}') GROUP BY contig_id")
 def private_kmers(spark, d):
     """Query positions whose k-mer no subject has, by an anti-join."""
-    rows = kmers(contigs(spark, d), 21)
-    others = rows.filter(F.col("genome") != QUERY).select("key").distinct()
-    return rows.filter(F.col("genome") == QUERY).join(others, "key", "left_anti").groupBy("contig_id").agg(F.count(F.lit(1)).alias("private"))
+    cut = pieces(contigs(spark, d, starts=False), [21])
+    others = keys(cut, [21], genomes=SUBJECTS, places=False).select("key").distinct()
+    return keys(cut, [21], genomes=[QUERY]).join(others, "key", "left_anti").groupBy("contig_id").agg(F.count(F.lit(1)).alias("private"))
 
 
 # --- class tables ---------------------------------------------------------------------------------------------------
@@ -356,10 +356,9 @@ _ladder = "WITH " + sql_ladder(LADDER) + ", " + ", ".join(sql_painted(k, True, s
 
 
 def _shares(spark, d):
-    c = prepared(contigs(spark, d, True))
-    cells = lambda k: summaries.cube(_paint(c, strata.strata(c, QUERY, SUBJECTS, k, STRIDE)))
-    table = ladder.over_ladder(LADDER, lambda k: summaries.class_sharing(cells(k), SUBJECTS).filter("class <> 'ALL'"))
-    return ladder.curves(table, SUBJECTS)
+    c = contigs(spark, d, True)
+    cells = summaries.cube(_paint(c, strata.strata_ladder(c, QUERY, SUBJECTS, LADDER, STRIDE)), "k")
+    return ladder.curves(summaries.class_sharing(cells, SUBJECTS, "k").filter("class <> 'ALL'"), SUBJECTS)
 
 
 @query("q_ladder_sharing", f"{_ladder} SELECT k, class, subject, round(share, 6) AS share FROM L")
@@ -389,13 +388,13 @@ def _sql_census(bins):
 @query("q_census", _sql_census(ladder.CENSUS_BINS))
 def census(spark, d):
     """Positions by multiplicity over the ladder."""
-    return ladder.census(contigs(spark, d, True), QUERY, LADDER)
+    return ladder.census(contigs(spark, d, True, starts=False), QUERY, LADDER)
 
 
 @query("q_census_fine", _sql_census(ladder.FINE_BINS))
 def census_fine(spark, d):
     """The same in nine bins."""
-    return ladder.census(contigs(spark, d, True), QUERY, LADDER, ladder.FINE_BINS)
+    return ladder.census(contigs(spark, d, True, starts=False), QUERY, LADDER, ladder.FINE_BINS)
 
 
 RUNGS = ladder.SURVIVAL_LADDER
@@ -404,7 +403,7 @@ _surv = "WITH " + sql_ladder(RUNGS) + ", " + ", ".join(sql_strata(k, True, str(k
 
 
 def _survival(spark, d):
-    return ladder.survival(prepared(contigs(spark, d, True)), QUERY, SUBJECTS, RUNGS)
+    return ladder.survival(contigs(spark, d, True, starts=False), QUERY, SUBJECTS, RUNGS)
 
 
 @query("q_survival", f"{_surv} SELECT contig_id, subject, CAST(surv AS BIGINT) AS surv, count(*) AS n FROM V GROUP BY 1, 2, 3")

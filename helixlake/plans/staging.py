@@ -29,11 +29,18 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/helixlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends, if nothing did so before: results read it until then."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, if it is there."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,28 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixlake.functions.sequence import bases, region_class, text_bases
-from helixlake.plans.staging import stage
+from helixlake.functions.sequence import bases, region_class
+from helixlake.plans.staging import ship, stage
 
 
 #: Contig ids that one window group orders.
 SPAN = 4096
+#: Contigs up to which their offsets are broadcast (some 30 bytes each); of more, they are joined by an exchange.
+BROADCAST_CONTIGS = 200_000
 
 
 def with_starts(contigs: DataFrame) -> DataFrame:
-    """Add len and start, a contig's offset in its genome in the order of contig_id. Only (genome, id, length) is windowed,
-    by spans of ids: sums before each span first, then within it, so no task orders a whole genome's contigs."""
+    """Add len and start, a contig's offset in its genome in the order of contig_id.
+
+    Only (genome, id, length) is windowed, by spans of ids: sums before each span first, then within it, so no task orders a
+    whole genome's contigs. The offsets are staged, now: sequences are read once for their lengths, whatever follows,
+    and are not exchanged where the offsets, counted, are few enough to be broadcast.
+    """
     sized = contigs if "len" in contigs.columns else contigs.withColumn("len", F.length("seq").cast("long"))
     sizes = sized.select("genome", "contig_id", "len", F.floor(F.col("contig_id") / SPAN).alias("span"))
     before = Window.partitionBy("genome").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = sizes.groupBy("genome", "span").agg(F.sum("len").alias("n")).select("genome", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("genome", "span").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("inner", F.coalesce(F.sum("len").over(within), F.lit(0))).join(spans, ["genome", "span"])
-    return sized.join(starts.select("genome", "contig_id", (F.col("base") + F.col("inner")).alias("start")), ["genome", "contig_id"])
+    within = Window.partitionBy("genome", "span").orderBy("contig_id")
+    inner = sizes.withColumn("upto", F.sum("len").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    last = inner.groupBy("genome", "span").agg(F.max("upto").alias("n"))
+    spans = last.select("genome", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    starts = inner.join(spans, ["genome", "span"]).select("genome", "contig_id", (F.col("base") + F.col("upto") - F.col("len")).alias("start"))
+    starts = stage(starts, "starts")
+    small = starts.count() <= BROADCAST_CONTIGS
+    return sized.join(F.broadcast(starts) if small else starts, ["genome", "contig_id"])
 
 
 def prepared(contigs: DataFrame) -> DataFrame:
@@ -48,11 +60,41 @@ def read_fasta(spark: SparkSession, path: str, genome: str, include: str | None
     return with_starts(named)
 
 
-def from_texts(df: DataFrame, genome: Column, contig_id: Column, text: Column, letters_only: bool = False, include: str | None = None) -> DataFrame:
-    """Contigs made of a table's texts, so that any corpus can be analysed like a genome collection."""
-    out = df.select(genome.alias("genome"), contig_id.cast("long").alias("contig_id"), F.concat(F.lit("d"), contig_id.cast("string")).alias("name"), text.alias("text"))
+def _letters(letters_only: bool):
+    """Lower-case texts as letters: a to z stand for A, C, G, T in turn; white space and control bytes go; what else there is, one
+    letter in however many bytes, is N, or goes too."""
+    table = np.zeros(256, np.uint8)
+    if not letters_only:
+        table[0x21:0x80] = table[0xC0:] = ord("N")
+    table[ord("a") : ord("z") + 1] = np.frombuffer((b"ACGT" * 7)[:26], np.uint8)
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column("text").fill_null("").cast(pa.large_binary())
+            at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1 + text.offset)[text.offset :]
+            raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+            step = 0
+            while step < len(text):  # a few MB at a time
+                end = max(step + 1, int(np.searchsorted(at, at[step] + (4 << 20), "right")) - 1)
+                coded = table[raw[at[step] : at[end]]]
+                kept = coded != 0
+                left = np.concatenate(([0], np.cumsum(kept)))[at[step : end + 1] - at[step]]
+                seq = pa.Array.from_buffers(pa.binary(), end - step, [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(coded[kept])])
+                cut = [batch.column(c).slice(step, end - step) for c in ("genome", "contig_id", "name")]
+                yield pa.RecordBatch.from_arrays([*cut, seq, pa.array(np.diff(left))], names=["genome", "contig_id", "name", "seq", "len"])
+                step = end
+
+    return run
+
+
+def from_texts(df: DataFrame, genome: Column, contig_id: Column, text: Column, letters_only: bool = False, include: str | None = None, starts: bool = True) -> DataFrame:
+    """Contigs made of a table's texts, so that any corpus can be analysed like a genome collection. Without `starts` they have no
+    offsets in their genome: enough, and cheaper, for what doesn't ask where a k-mer is."""
+    ship(df.sparkSession)
+    out = df.select(genome.alias("genome"), contig_id.cast("long").alias("contig_id"), F.concat(F.lit("d"), contig_id.cast("string")).alias("name"), F.lower(text).alias("text"))
     out = out if include is None else out.filter(F.contains("name", F.lit(include)))
-    return with_starts(out.select("genome", "contig_id", "name", F.coalesce(text_bases(F.col("text"), letters_only), F.lit("")).cast("binary").alias("seq")))
+    out = out.mapInArrow(_letters(letters_only), "genome string, contig_id long, name string, seq binary, len long")
+    return with_starts(out) if starts else out
 
 
 def only(contigs: DataFrame, names: Sequence[str] | None = None, without: Sequence[str] = ()) -> DataFrame:

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixlake.operators import ladder
 from helixlake.operators import strata as S
-from helixlake.operators.kmers import kmers, spectrum, window_hashes
+from helixlake.operators.kmers import bloom, kmers, spectrum, window_hashes
 from helixlake.sources.genome import read_bed, read_fasta, read_index, read_paf, with_starts
 from helixlake.sources.randgen import random_genome
 
@@ -54,7 +55,7 @@ def genomes():
     return mosaic(7, {"q": [22, 9, 0, 1], "s1": [6, 14], "s2": [11]})
 
 
-@pytest.mark.parametrize("k,stride,small", [(21, 1, False), (32, 1, False), (16, 4, False), (33, 1, False), (51, 4, False), (201, 8, False), (500, 3, False), (25, 1, True), (101, 2, True)])
+@pytest.mark.parametrize("k,stride,small", [(1, 1, False), (5, 7, False), (15, 2, False), (31, 1, False), (32, 5, False), (33, 3, False), (64, 1, False), (127, 10, False), (300, 6, False), (18, 1, True), (32, 9, True), (40, 1, True)])
 def test_strata(spark, genomes, k, stride, small):
     c = contigs_of(spark, genomes)
     got = {(r.contig_id, r.lpos): (r.pres, r.mult, r.mult_full) for r in S.strata(c, "q", ["s1", "s2"], k, stride, small_query=small).collect()}
@@ -71,6 +72,71 @@ def test_strata(spark, genomes, k, stride, small):
     assert got == want
 
 
+@pytest.mark.parametrize("stride", [1, 5])
+def test_a_ladder_is_its_rungs(spark, genomes, stride):
+    c, ks = contigs_of(spark, genomes), [7, 32, 33, 90]
+    ladder = S.strata_ladder(c, "q", ["s1", "s2"], ks, stride)
+    for k in ks:
+        one = S.strata(c, "q", ["s1", "s2"], k, stride)
+        assert sorted(map(tuple, ladder.filter(F.col("k") == k).drop("k").collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_bases_are_dealt_once(spark, genomes):
+    """All uses of all k share one exchange of bases, and keys of k up to 32 are 8 bytes."""
+    c = contigs_of(spark, genomes)
+    for df in (S.strata(c, "q", ["s1", "s2"], 21), S.strata_ladder(c, "q", ["s1", "s2"], [16, 31, 101])):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("REPARTITION_BY_COL") == 1 + plan.count("ReusedExchange [genome") and "ReusedExchange [genome" in plan
+    assert dict(kmers(c, 32).dtypes)["key"] == "bigint" and dict(kmers(c, 33).dtypes)["key"].startswith("struct")
+
+
+def test_packed_keys_are_the_letters(spark):
+    texts = {"q": {"a": "".join(random.Random(5).choices("ACGT", k=300)) + "N" + "ACGT" * 40}}
+    for k in (1, 2, 3, 16, 17, 31, 32):
+        number = lambda w: sum("ACGT".index(x) << 2 * (len(w) - 1 - i) for i, x in enumerate(w))
+        got = {r.lpos: r.key % 2**64 for r in kmers(contigs_of(spark, texts), k, chunk=64).collect()}
+        assert got == {i: min(number(w), number(comp(w))) for i, w in canon(texts["q"]["a"], k)}
+
+
+def test_survival_by_shrinking(spark, genomes):
+    c, ks, subjects = contigs_of(spark, genomes), [9, 20, 33, 60, 100, 250], ["s1", "s2"]
+    want = {}
+    for ci, s in enumerate(genomes["q"].values()):
+        for i in range(len(s)):
+            for name in subjects:
+                want[ci, i, name] = 255 if i + ks[0] > len(s) else 0
+    for rung, k in enumerate(ks, 1):
+        sets = {g: {w for s in genomes[g].values() for _, w in canon(s, k)} for g in subjects}
+        for ci, s in enumerate(genomes["q"].values()):
+            for i, w in canon(s, k):
+                for g in subjects:
+                    if w in sets[g]:
+                        want[ci, i, g] = rung
+    for step in (1, 4):
+        got = {(r.contig_id, r.lpos, r.subject): r.surv for r in ladder.survival(c, "q", subjects, ks, step).collect()}
+        assert got == want
+    # what a pass cuts is bounded by what the pass before it left, and nothing is cut where nothing is left
+    left, seen = None, 0
+    for some, rows, hits in ladder.shrinking(c, "q", subjects, ks, 1):
+        cut = rows.count()
+        assert left is None or cut <= left
+        left, seen = hits.count(), seen + 1
+        assert {(r.contig_id, r.lpos) for r in hits.filter("tag = 0").collect()} == {(ci, i) for (ci, i, g), v in want.items() if v != 255 and v >= seen}
+    assert left < 2000 and seen > 2
+    alone = {"q": {"a": "ACGTTGCA" * 4}, "s": {"b": "C" * 50}}
+    assert [some for some, _, _ in ladder.shrinking(contigs_of(spark, alone), "q", ["s"], ks)] == [[9]]
+
+
+def test_bloom_filter_lets_its_keys_through(spark):
+    r = np.random.default_rng(9)
+    inside, outside = (r.integers(0, 2**63, 20_000).astype(np.uint64) for _ in range(2))
+    rows = spark.createDataFrame([(int(x),) for x in inside.view(np.int64)], "key long").repartition(5)
+    for expected, most in ((20_000, 0.05), (100, 1.0)):  # too small a filter lets more through, and loses nothing
+        f = bloom(rows, expected).value
+        assert f.has(inside).all() and f.has(outside).mean() <= most
+
+
 def test_spectrum_and_stats(spark, genomes):
     c = contigs_of(spark, genomes)
     rows = spectrum(kmers(c, 21)).filter("genome = 'q'").collect()
