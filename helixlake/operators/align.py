@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from helixlake.operators.intervals import disjoint, merge, paint
+
 
 def exact_runs(alignments: DataFrame) -> DataFrame:
     """(aln, qstart, qend, a, b) in query coordinates: stretches of `=` that nothing interrupts. alignments: aln, qstart,
@@ -44,15 +46,19 @@ def concordance(alignments: DataFrame, positions: DataFrame, k: int) -> DataFram
     A position is exact if its k-mer lies in one stretch of matches of any alignment. It is broken if it is not exact and
     the last primary alignment (tp = P, largest aln) that holds its whole k-mer is not exact there; uncovered if no primary
     alignment holds it. Exact, broken and uncovered positions are told apart by presence, broken ones by single copy too.
+    Stretches and spans stay intervals, so what alignments add to positions goes with their operations, not with their bases:
+    an alignment's exact stretches lie over its span, and a later alignment's over an earlier one's.
     """
-    starts = exact_starts(alignments, k).join(alignments.select("aln", "contig_id"), "aln")
-    starts = starts.select("aln", "contig_id", F.col("p").alias("lpos"))
-    exact = starts.select("contig_id", "lpos").distinct().withColumn("exact", F.lit(True))
-    main = alignments.filter("tp = 'P' and cigar is not null and qstart < qend").select("aln", "contig_id", F.explode(F.sequence(F.col("qstart"), F.col("qend") - 1)).alias("lpos"), "qend")
-    told = main.join(starts.withColumn("ok", F.lit(True)), ["aln", "contig_id", "lpos"], "left")
-    whole = F.col("lpos") + k <= F.col("qend")
-    state = told.groupBy("contig_id", "lpos").agg(F.max_by(F.when(whole, F.coalesce("ok", F.lit(False))), F.when(whole, F.col("aln"))).alias("last"), F.lit(True).alias("covered"))
-    each = positions.join(exact, ["contig_id", "lpos"], "left").join(state, ["contig_id", "lpos"], "left")
+    runs = exact_runs(alignments).filter(F.col("b") - F.col("a") >= k).join(alignments.select("aln", "contig_id", "tp"), "aln")
+    exact = runs.select("aln", "contig_id", "tp", F.col("a").alias("start"), (F.col("b") - k + 1).alias("end"))
+    main = alignments.filter("tp = 'P' and cigar is not null and qstart < qend")
+    whole = main.select("contig_id", F.col("qstart").alias("start"), (F.col("qend") - k + 1).alias("end"), F.lit("broken").alias("class"), (F.col("aln") * 2).alias("ord")).filter("start < end")
+    inside = exact.filter("tp = 'P'").select("contig_id", "start", "end", F.lit("exact").alias("class"), (F.col("aln") * 2 + 1).alias("ord"))
+    span = main.select("contig_id", F.col("qstart").alias("start"), F.col("qend").alias("end"))
+    each = paint(positions, merge(exact).withColumn("class", F.lit("yes")), "exact", "no")
+    each = paint(each, disjoint(whole.unionByName(inside)), "last", "none")
+    each = paint(each, merge(span).withColumn("class", F.lit("yes")), "covered", "no")
+    each = each.withColumns({"exact": F.col("exact") == "yes", "last": F.when(F.col("last") != "none", F.col("last") == "exact"), "covered": F.col("covered") == "yes"})
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     valid, present, one = yes("valid"), yes("present"), F.col("mult") == 1
     a = valid & yes("exact")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.operators.kmers import EXACT, bloom, key_columns, keys, pieces, spectrum
+from helixlake.sources.genome import index
 
 CAP = 255
 
@@ -58,14 +59,14 @@ def strata(contigs: DataFrame, query: str, subjects: Sequence[str], k: int, stri
     at = keys(cut, [k], stride, genomes=[query], several=False).drop("tag")
     only = None
     if small_query:
-        long = contigs.filter(F.col("genome") == query).agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+        long = index(contigs, query).agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
         only = bloom(keys(cut, [k], genomes=[query], places=False, several=False), long)
     return _capped(at.join(tagged(cut, query, subjects, [k], False, only), key_columns([k])), own)
 
 
 def dense(rows: DataFrame, contigs: DataFrame, query: str, stride: int = 1, block: int = 1 << 16) -> DataFrame:
     """Every sampled position of the query, with zeros where there is no valid k-mer."""
-    one = contigs.filter(F.col("genome") == query).select("contig_id", "start", "len")
+    one = index(contigs, query)
     blocks = one.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("len") - 1, F.lit(0)), F.lit(block).cast("long")))).filter("len > 0")
     first = F.pmod(-(F.col("start") + F.col("a")), F.lit(stride))
     last = F.least(F.col("len") - F.col("a"), F.lit(block)) - 1

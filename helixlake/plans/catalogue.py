@@ -37,7 +37,8 @@ def contigs(spark: SparkSession, sf_dir: str, letters_only: bool = False, includ
 
 
 def query_contigs(c: DataFrame) -> DataFrame:
-    return c.filter(F.col("genome") == QUERY)
+    """Names, offsets and lengths of the query's contigs."""
+    return index(c, QUERY)
 
 
 def annotation(c: DataFrame) -> DataFrame:

@@ -28,16 +28,20 @@ def with_starts(contigs: DataFrame) -> DataFrame:
     and are not exchanged where the offsets, counted, are few enough to be broadcast.
     """
     sized = contigs if "len" in contigs.columns else contigs.withColumn("len", F.length("seq").cast("long"))
-    sizes = sized.select("genome", "contig_id", "len", F.floor(F.col("contig_id") / SPAN).alias("span"))
+    names = [c for c in ("name",) if c in sized.columns]
+    sizes = sized.select("genome", "contig_id", *names, "len", F.floor(F.col("contig_id") / SPAN).alias("span"))
     before = Window.partitionBy("genome").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("genome", "span").orderBy("contig_id")
     inner = sizes.withColumn("upto", F.sum("len").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     last = inner.groupBy("genome", "span").agg(F.max("upto").alias("n"))
     spans = last.select("genome", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    starts = inner.join(spans, ["genome", "span"]).select("genome", "contig_id", (F.col("base") + F.col("upto") - F.col("len")).alias("start"))
-    starts = stage(starts, "starts")
-    small = starts.count() <= BROADCAST_CONTIGS
-    return sized.join(F.broadcast(starts) if small else starts, ["genome", "contig_id"])
+    table = inner.join(spans, ["genome", "span"]).select("genome", "contig_id", *names, (F.col("base") + F.col("upto") - F.col("len")).alias("start"), "len")
+    table = stage(table, "starts")
+    small = table.count() <= BROADCAST_CONTIGS
+    starts = table.select("genome", "contig_id", "start")
+    out = sized.join(F.broadcast(starts) if small else starts, ["genome", "contig_id"])
+    out._index = table
+    return out
 
 
 def prepared(contigs: DataFrame) -> DataFrame:
@@ -103,9 +107,12 @@ def only(contigs: DataFrame, names: Sequence[str] | None = None, without: Sequen
     return out.filter(~F.col("name").isin(list(without))) if without else out
 
 
-def index(contigs: DataFrame) -> DataFrame:
-    """name, start, len of each contig."""
-    return contigs.select("genome", "contig_id", "name", "start", "len")
+def index(contigs: DataFrame, genome: str | None = None) -> DataFrame:
+    """name, start, len of each contig (of one genome): from the staged offsets where contigs are as with_starts gave them, so
+    that sequences aren't read for it."""
+    table = getattr(contigs, "_index", contigs)
+    table = table if genome is None else table.filter(F.col("genome") == genome)
+    return table.select("genome", "contig_id", "name", "start", "len")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
