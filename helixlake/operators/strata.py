@@ -13,7 +13,7 @@ from helixlake.sources.genome import index
 CAP = 255
 
 
-def _check(subjects: Sequence[str]) -> None:
+def check(subjects: Sequence[str]) -> None:
     if len(subjects) > 8 or len(set(subjects)) != len(subjects):
         raise ValueError("at most 8 subjects, each once")
 
@@ -32,7 +32,7 @@ def tagged(cut: DataFrame, query: str, subjects: Sequence[str], ks: Sequence[int
     return rows.groupBy(*by).agg(F.sum("q").alias("mult_full"), F.bit_or("bit").alias("pres")).filter("mult_full > 0")
 
 
-def _capped(rows: DataFrame, own: bool, *more: str) -> DataFrame:
+def capped(rows: DataFrame, own: bool, *more: str) -> DataFrame:
     full = F.col("mult_full") if own else F.lit(0).cast("long")
     return rows.select(*more, "contig_id", "lpos", "pos", F.col("pres").cast("int").alias("pres"), F.least(full, F.lit(CAP)).cast("int").alias("mult"), full.alias("mult_full"))
 
@@ -40,10 +40,10 @@ def _capped(rows: DataFrame, own: bool, *more: str) -> DataFrame:
 def strata_ladder(contigs: DataFrame, query: str, subjects: Sequence[str], ks: Sequence[int], stride: int = 1, own: bool = True) -> DataFrame:
     """`strata` of every k at once, with a column k: the bases are read and dealt once, and the k-mers of all k go through one
     aggregation and one join, by k and key."""
-    _check(subjects)
+    check(subjects)
     cut = pieces(contigs.filter(F.col("genome").isin(query, *subjects)), ks)
     at = keys(cut, ks, stride, genomes=[query], several=True).drop("tag")
-    return _capped(at.join(tagged(cut, query, subjects, ks, True), key_columns(ks, True)), own, "k")
+    return capped(at.join(tagged(cut, query, subjects, ks, True), key_columns(ks, True)), own, "k")
 
 
 def strata(contigs: DataFrame, query: str, subjects: Sequence[str], k: int, stride: int = 1, own: bool = True, small_query: bool = False) -> DataFrame:
@@ -54,14 +54,14 @@ def strata(contigs: DataFrame, query: str, subjects: Sequence[str], k: int, stri
     query's k-mers, made first, keeps nearly all that it lacks from leaving the tasks that cut subjects' k-mers; the exact
     aggregation follows, so results are the same. The filter is as large as the query asks, up to a bound.
     """
-    _check(subjects)
+    check(subjects)
     cut = pieces(contigs.filter(F.col("genome").isin(query, *subjects)), [k])
     at = keys(cut, [k], stride, genomes=[query], several=False).drop("tag")
     only = None
     if small_query:
         long = index(contigs, query).agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
         only = bloom(keys(cut, [k], genomes=[query], places=False, several=False), long)
-    return _capped(at.join(tagged(cut, query, subjects, [k], False, only), key_columns([k])), own)
+    return capped(at.join(tagged(cut, query, subjects, [k], False, only), key_columns([k])), own)
 
 
 def dense(rows: DataFrame, contigs: DataFrame, query: str, stride: int = 1, block: int = 1 << 16) -> DataFrame:
@@ -79,7 +79,7 @@ def dense(rows: DataFrame, contigs: DataFrame, query: str, stride: int = 1, bloc
 def subject_stats(contigs: DataFrame, query: str, subjects: Sequence[str], k: int, stride: int = 1, small_query: bool = False) -> DataFrame:
     """Per subject: its length, distinct k-mers (with small_query only those shared), and shared distinct sampled query
     k-mers and positions."""
-    _check(subjects)
+    check(subjects)
     cut = pieces(contigs.filter(F.col("genome").isin(query, *subjects)), [k])
     rows = keys(cut, [k], genomes=[query, *subjects], places=False, several=False, sample=stride)
     sampled = ((F.col("tag") == 0) & F.col("sampled")).cast("long")

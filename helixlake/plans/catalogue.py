@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.functions.sequence import CLASSES, COPY_BINS, FAMILIES, LINEAGES, has_bit, region_class, share
-from helixlake.operators import align, arrays, intervals, ladder, segments, strata, summaries
+from helixlake.operators import align, arrays, intervals, keytables, ladder, packed, segments, strata, summaries
 from helixlake.operators.kmers import keys, kmers, pieces, spectra
 from helixlake.plans.staging import shared_root
 from helixlake.sources import sinks
@@ -563,6 +563,22 @@ def within_pair(spark, d):
     return summaries.class_sharing(summaries.cube(painted), pair)
 
 
+_two = f"WITH {sql_strata(31)}, " + ", ".join(f"X{i} AS (SELECT '{name}' AS run, contig_id, count(*) AS positions, count(*) FILTER (WHERE (pres & {bits}) <> 0) AS shared, CAST(sum(mult_full) AS BIGINT) AS copies FROM S WHERE pos % {step} = 0 GROUP BY contig_id)" for i, (name, bits, step) in enumerate((("pair", 6, 1), ("one", 1, 8))))
+
+
+@query("q_key_tables", f"{_two} SELECT * FROM X0 UNION ALL SELECT * FROM X1")
+def key_tables(spark, d):
+    """Two runs, of other subjects and stride, from k-mers that were written once."""
+    c = contigs(spark, d)
+    name = f"keys_{uuid.uuid4().hex}"
+    keytables.write_keys(c, 31, [QUERY, *SUBJECTS], name, f"{shared_root(spark)}/helixlake/{name}", 16)
+    out = []
+    for run, subjects, stride in (("pair", ["chimp", "bonobo"], 1), ("one", ["hg002"], 8)):
+        rows = keytables.strata_from_keys(spark, name, c, QUERY, subjects, 31, stride)
+        out.append(rows.groupBy("contig_id").agg(F.count(F.lit(1)).alias("positions"), F.count_if(F.col("pres") != 0).alias("shared"), F.sum("mult_full").alias("copies")).withColumn("run", F.lit(run)))
+    return out[0].unionByName(out[1])
+
+
 _rand = """WITH W AS (SELECT c.i AS contig_id, w.i AS w, ((1::UHUGEINT * 11400714819323198485 * 7 + 305419896 + (c.i * 938 + w.i + 1)::UHUGEINT * 11400714819323198485) % 18446744073709551616)::UBIGINT AS z, least(30000, 100000 - c.i * 30000) AS n FROM range(0, 4) c(i), range(0, 938) w(i)),
 A AS (SELECT contig_id, w, n, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929) % 18446744073709551616)::UBIGINT AS z FROM W),
 B AS (SELECT contig_id, w, n, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931) % 18446744073709551616)::UBIGINT AS z FROM A),
@@ -644,6 +660,34 @@ def strata_round_trip(spark, d):
     return sinks.read_strata(spark, path, QUERY, 21).filter("contig_id % 3 = 0 and lpos >= 100 and lpos < 900")
 
 
+_every = f"A AS (SELECT contig_id, lpos, start + lpos AS pos FROM (SELECT contig_id, start, unnest(range(0, len)) AS lpos FROM O WHERE genome = '{QUERY}')), D AS (SELECT A.contig_id, A.lpos, coalesce(S.pres, 0) AS pres, coalesce(S.mult, 0) AS mult FROM A LEFT JOIN S ON S.contig_id = A.contig_id AND S.lpos = A.lpos WHERE A.pos % 4 = 0)"
+
+
+def _packed(spark, d):
+    path = _fresh(spark, "packed")
+    c, rows = _strata(spark, d, 21, stride=4)
+    packed.write_packed(packed.pack(rows, c, QUERY, 4, 1024), path, QUERY, 21, 4)
+    return packed.read_packed(spark, path, QUERY, 21, 4)
+
+
+@query("q_packed_dense", f"WITH {sql_strata(21)}, {_every} SELECT * FROM D")
+def packed_dense(spark, d):
+    """Every fourth position from a run packed in blocks of bytes."""
+    return packed.unpack(_packed(spark, d), 4)
+
+
+#: Regions cut out of packed blocks: contig, start, end.
+CUT = [(0, 100, 900), (8, 1000, 3000), (16, 0, 50), (24, 1023, 1025), (999_999_999, 0, 10)]
+
+
+@query("q_packed_regions", f"WITH {sql_strata(21)}, {_every} " + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS region, * FROM D WHERE contig_id = {c} AND lpos >= {a} AND lpos < {b}" for i, (c, a, b) in enumerate(CUT)))
+def packed_regions(spark, d):
+    """Regions of that run."""
+    blocks = _packed(spark, d)
+    parts = [packed.region(blocks, c, a, b, 4, 1024).withColumn("region", F.lit(i)) for i, (c, a, b) in enumerate(CUT)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("q_table_round_trip", f"WITH {sql_painted(21)} " + _sql_total(_sharing_body, "P"))
 def table_round_trip(spark, d):
     """A class table as gzipped tab-separated text and back."""
