@@ -21,7 +21,7 @@ TRAIN_TOXIC, TRAIN_CLEAN = 1000, 3000
 #: Windows of _WINDOW tokens, with cues and without, that the chain is fitted on at most.
 HOT_WINDOWS, PLAIN_WINDOWS = 6000, 3000
 #: Bytes, about, of the words whose potentials a Python worker keeps; when full, it starts anew.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 24 << 20
 _WORD = re.compile(r"[^\W_]+")
 _STEMS = range(3, 9)
 _WINDOW = 64
