@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from helixlake.functions.sequence import has_bit
 from helixlake.operators.intervals import within
+from helixlake.operators.quantiles import of_counts
 
 #: Positions that one window group orders; runs are joined across its edges afterwards.
 BLOCK = 1 << 20
@@ -60,5 +61,6 @@ def segment_kinds(segments: DataFrame, rows: DataFrame) -> DataFrame:
     where that is 1, telomeric where it is the cap."""
     spans = segments.select("contig_id", "start", "end", F.struct("start", "end", F.least("start", F.col("length") - F.col("end")).alias("dist_end")).alias("id"))
     inside = within(rows.select("contig_id", "lpos", "mult"), spans).select("contig_id", "id.*", "mult")
-    out = inside.groupBy("contig_id", "start", "end", "dist_end").agg(F.percentile("mult", 0.5).alias("median_copies"))
+    by = ["contig_id", "start", "end", "dist_end"]
+    out = of_counts(inside.groupBy(*by, "mult").agg(F.count(F.lit(1)).alias("n")), by, "mult", 0.5).withColumnRenamed("quantile", "median_copies")
     return out.withColumn("kind", F.when(F.col("median_copies") >= 255, "telomeric").when(F.col("median_copies") == 1, "single_copy").otherwise("repeated"))
