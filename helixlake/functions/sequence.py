@@ -17,17 +17,6 @@ COPY_BINS = [(1, 1, "1"), (2, 2, "2"), (3, 9, "3-9"), (10, 99, "10-99"), (100, 2
 FAMILIES = {"active_hor": "hor_active", "hor": "hor", "dhor": "dhor", "mon": "mon", "ct": "ct", "bSat": "bsat", "gSat": "gsat", "HSat1A": "hsat1A", "HSat1B": "hsat1B", "HSat2": "hsat2", "HSat3": "hsat3", "cenSat": "censat", "rDNA": "rDNA", "mixedAlpha": "hor"}
 
 
-def bases(raw: Column) -> Column:
-    """Sequence text as letters ACGTN: white space and control bytes go, case is ignored, all else is N."""
-    packed = F.regexp_replace(raw, r"[\x00-\x20]", "")
-    return F.regexp_replace(F.translate(packed, "acgt", "ACGT"), "[^ACGT]", "N")
-
-
-def reverse_complement(seq: Column) -> Column:
-    """Of letters, as BINARY; N stays."""
-    return F.reverse(F.translate(seq.cast("string"), "ACGT", "TGCA")).cast("binary")
-
-
 def has_bit(pattern: Column, bit: int) -> Column:
     return pattern.bitwiseAND(1 << bit) != 0
 

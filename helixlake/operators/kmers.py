@@ -32,6 +32,8 @@ def pieces(contigs: DataFrame, ks: Sequence[int], chunk: int | None = None) -> D
     Columns: genome, contig_id, a (first start in the contig), base (in the genome; a where contigs have no start), f.
     """
     chunk = chunk_of(ks, chunk)
+    if "off" in contigs.columns:
+        return _joined(contigs, ks, chunk)
     fits = contigs.filter(F.col("len") >= min(ks))
     cut = fits.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - min(ks), F.lit(chunk).cast("long"))))
     base = F.col("start") + F.col("a") if "start" in contigs.columns else F.col("a")
@@ -39,6 +41,20 @@ def pieces(contigs: DataFrame, ks: Sequence[int], chunk: int | None = None) -> D
     return cut.select("genome", "contig_id", "a", base.alias("base"), f.alias("f")).repartition("genome", "contig_id", "a")
 
 
+def _joined(parts: DataFrame, ks: Sequence[int], chunk: int) -> DataFrame:
+    """Chunks put together from parts of contigs: a part goes to each chunk that it has a base of, with what the longest k needs
+    after it, and a chunk's task joins its parts, so no contig is ever in one place."""
+    more = max(ks) - 1
+    cut = parts.withColumn("cell", F.explode(F.sequence(F.expr(f"greatest(off - {more}, 0) div {chunk}"), F.expr(f"(off + n - 1) div {chunk}"))))
+    cut = cut.withColumn("a", F.col("cell") * chunk).filter(F.col("a") + min(ks) <= F.col("len"))
+    lo, hi = F.greatest(F.col("a"), F.col("off")), F.least(F.col("a") + chunk + more, F.col("off") + F.col("n"))
+    piece = F.substring(F.col("seq"), (lo - F.col("off") + 1).cast("int"), (hi - lo).cast("int")).cast("string")
+    cut = cut.select("genome", "contig_id", "a", F.col("start"), lo.alias("lo"), piece.alias("s"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lo", "s"))), lambda x: x["s"]), "")
+    out = cut.groupBy("genome", "contig_id", "a").agg(F.first("start").alias("start"), joined.cast("binary").alias("f"))
+    return out.select("genome", "contig_id", "a", (F.col("start") + F.col("a")).alias("base"), "f")
+
+
 def chunk_of(ks: Sequence[int], chunk: int | None = None) -> int:
     if not ks or min(ks) < 1 or max(ks) > LONGEST:
         raise ValueError(f"k must be from 1 to {LONGEST}")

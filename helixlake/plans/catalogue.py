@@ -18,7 +18,7 @@ from helixlake.operators import align, arrays, intervals, keytables, ladder, pac
 from helixlake.operators.kmers import keys, kmers, pieces, spectra
 from helixlake.plans.staging import shared_root
 from helixlake.sources import sinks
-from helixlake.sources.genome import from_texts, index, only, prepared, read_bed, read_fasta, read_paf
+from helixlake.sources.genome import from_texts, index, only, prepared, read_bed, read_fasta, read_fasta_parts, read_paf
 from helixlake.sources.randgen import random_genome
 
 QUERY = "chm13"
@@ -640,15 +640,27 @@ def _fresh(spark, name: str) -> str:
     return f"{shared_root(spark)}/helixlake/{name}-{uuid.uuid4().hex}"
 
 
-@query("q_fasta_round_trip", f"WITH {sql_contigs()} SELECT genome, name, len, md5(s) AS digest FROM O WHERE genome IN ('{QUERY}', 'chimp')")
+@query("q_fasta_round_trip", f"WITH {sql_contigs()} SELECT genome, name, start, len, md5(s) AS digest FROM O")
 def fasta_round_trip(spark, d):
-    """Two genomes written as FASTA, one gzipped, and read again."""
-    out = []
+    """All genomes written as FASTA, one gzipped, and read again, with their contigs in order."""
+    c, out = contigs(spark, d), []
+    for genome in GENOMES:
+        path = _fresh(spark, "fasta")
+        sinks.write_fasta(c.filter(F.col("genome") == genome), path, compress=genome == QUERY)
+        out.append(read_fasta(spark, path, genome).select("genome", "name", "start", "len", F.md5("seq").alias("digest")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("q_fasta_parts", f"WITH {sql_contigs()}, {sql_kmers(21)} SELECT genome, count(*) AS n, count(DISTINCT key) AS kinds, CAST(sum(pos) AS BIGINT) AS places FROM K WHERE genome IN ('{QUERY}', 'chimp') GROUP BY genome")
+def fasta_parts(spark, d):
+    """K-mers of genomes read in parts of contigs, never whole."""
+    c, out = contigs(spark, d), []
     for genome in (QUERY, "chimp"):
         path = _fresh(spark, "fasta")
-        sinks.write_fasta(contigs(spark, d).filter(F.col("genome") == genome), path, compress=genome == QUERY)
-        out.append(read_fasta(spark, path, genome))
-    return out[0].unionByName(out[1]).select("genome", "name", "len", F.md5("seq").alias("digest"))
+        sinks.write_fasta(c.filter(F.col("genome") == genome), path)
+        rows = kmers(read_fasta_parts(spark, path, genome), 21)
+        out.append(rows.groupBy("genome").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("kinds"), F.sum("pos").alias("places")))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("q_strata_round_trip", f"WITH {sql_strata(21)} SELECT * FROM S WHERE contig_id % 3 = 0 AND lpos >= 100 AND lpos < 900")

@@ -40,9 +40,10 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_fasta(contigs: DataFrame, path: str, width: int = 60, mode: str = "overwrite", compress: bool = False) -> None:
-    """Contigs as FASTA text, lines of `width` bases, a folder of files."""
+    """Contigs as FASTA text, lines of `width` bases, a folder of files that follow the order of contig_id by name and by line."""
     wrapped = F.regexp_replace(F.col("seq").cast("string"), f"(.{{{width}}})(?=.)", "$1\n")
-    contigs.select(F.concat(F.lit(">"), "name", F.lit("\n"), wrapped)).write.mode(mode).option("compression", "gzip" if compress else "none").text(path)
+    ordered = contigs.repartitionByRange("contig_id").sortWithinPartitions("contig_id")
+    ordered.select(F.concat(F.lit(">"), "name", F.lit("\n"), wrapped)).write.mode(mode).option("compression", "gzip" if compress else "none").text(path)
 
 
 def write_bed(intervals: DataFrame, path: str, mode: str = "overwrite") -> None:
