@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -32,9 +33,28 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     _at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    for made in _scopes:
+        made.append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """What is staged inside is deleted at the end, but for what the caller takes out of the list that this gives: for work
+    whose result is itself staged, and then reads nothing else."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for df in made:
+            unstage(df)
+
+
 def _at_exit(spark: SparkSession, path: str) -> None:
     """Have a folder deleted when the driver ends, if nothing did so before: results read it until then."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
