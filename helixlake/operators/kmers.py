@@ -38,7 +38,9 @@ def pieces(contigs: DataFrame, ks: Sequence[int], chunk: int | None = None) -> D
     cut = fits.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - min(ks), F.lit(chunk).cast("long"))))
     base = F.col("start") + F.col("a") if "start" in contigs.columns else F.col("a")
     f = F.substring(F.col("seq"), (F.col("a") + 1).cast("int"), F.lit(chunk + max(ks) - 1))
-    return cut.select("genome", "contig_id", "a", base.alias("base"), f.alias("f")).repartition("genome", "contig_id", "a")
+    # so many partitions, whatever their bytes: a base takes a thousand times the work that reading it takes
+    n = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut.select("genome", "contig_id", "a", base.alias("base"), f.alias("f")).repartition(n, "genome", "contig_id", "a")
 
 
 def _joined(parts: DataFrame, ks: Sequence[int], chunk: int) -> DataFrame:

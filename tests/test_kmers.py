@@ -87,7 +87,7 @@ def test_bases_are_dealt_once(spark, genomes):
     for df in (S.strata(c, "q", ["s1", "s2"], 21), S.strata_ladder(c, "q", ["s1", "s2"], [16, 31, 101])):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-        assert plan.count("REPARTITION_BY_COL") == 1 + plan.count("ReusedExchange [genome") and "ReusedExchange [genome" in plan
+        assert plan.count("REPARTITION_BY_NUM") == 1 + plan.count("ReusedExchange [genome") and "ReusedExchange [genome" in plan
     assert dict(kmers(c, 32).dtypes)["key"] == "bigint" and dict(kmers(c, 33).dtypes)["key"].startswith("struct")
 
 

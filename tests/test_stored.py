@@ -37,7 +37,7 @@ def test_runs_from_key_tables(spark, c, tmp_path, k, unbroadcast):
         assert rows(again) == rows(S.strata(c, "q", subjects, k, stride))
         # the only exchanges are those of the query's bases and positions
         plan = again._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
-        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_COL") == 1
+        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_NUM") == 1
         side = plan[plan.index("HashAggregate") :].replace("BroadcastExchange", "")
         assert "Exchange" not in side and "Bucketed: true" in side
     spark.sql(f"drop table {name}")
