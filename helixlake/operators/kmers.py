@@ -192,6 +192,8 @@ def _keys(ks: tuple[int, ...], stride: int, chunk: int, genomes: tuple[str, ...]
                 for k in ks:
                     at = some[some + k < len(codes)]
                     at = at[bad[at + k] == bad[at]]
+                    if not len(at):  # nor need there be windows of so many bases
+                        continue
                     x, y = (windows.exact(k, at), None) if k <= EXACT else windows.hashed(k, at)
                     if only is not None:
                         there = only.value.has(x) | (tags[row[at]] == 0)
