@@ -21,7 +21,7 @@ def texts():
 
 def test_no_key_is_exchanged(spark, texts):
     c = contigs_of(spark, texts)
-    frames = [S.strata(c, "q", ["s", "u"], 61, 4), S.strata_ladder(c, "q", ["s", "u"], [21, 101]), ladder.census(c, "q", [16, 201])]
+    frames = [S.strata(c, "q", ["s", "u"], 61, 4), S.strata_ladder(c, "q", ["s", "u"], [21, 101]), ladder.census(c, "q", [16, 201]), ladder.survival(c, "q", ["s", "u"], [16, 201])]
     for df in frames:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(key" not in plan and "key#" not in plan
@@ -40,3 +40,10 @@ def test_runs_are_their_kmers(spark, texts, k):
     assert spectra(c, [k], ["q", "s", "u"]).drop("k").exceptAll(spectrum(every)).count() == 0
     size = dealt(pieces(c, [k]), [k], subjects).agg(F.sum(F.length("head") + F.length("s"))).first()[0]
     assert size <= 3.5 * every.filter("genome <> 'q'").count()  # bytes a k-mer; a key alone has 8 or 16
+
+
+def test_raster_of_blocks(spark, texts):
+    c, ks = contigs_of(spark, texts), [16, 33, 90, 400]
+    want = ladder.survival_raster(ladder.survival(c, "q", ["s", "u"], ks), 7)
+    got = ladder.raster_of_blocks(ladder.survival_blocks(c, "q", ["s", "u"], ks, 7), 7)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
