@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from helixlake.operators.kmers import genome_of, key_columns, keys, pieces
 from helixlake.operators.strata import capped, check
 
+#: K-mers that a bucket is to hold at most, copies counted.
+BUCKET_KEYS = 1 << 23
+
 
 def write_keys(contigs: DataFrame, k: int, genomes: Sequence[str], table: str, path: str | None = None, buckets: int = 64) -> DataFrame:
-    """Count the k-mers of each genome into a table (genome, key[, key2], n), a folder for each genome, in `buckets` files by key,
-    sorted by it. Later runs read the buckets of the genomes they need side by side, so subjects' k-mers are
-    exchanged here and never again. A bucket is what one task of a run holds, so `buckets` bounds its memory.
+    """Count the k-mers of each genome into a table (genome, key[, key2], n), a folder for each genome, in `buckets` files by key, or
+    more where genomes are so long that a bucket would have more than BUCKET_KEYS k-mers, sorted by it. Later runs read the buckets of the genomes they need side by side, so subjects' k-mers are
+    exchanged here and never again. A bucket is what one task of a run holds, so its memory doesn't grow with the genomes.
     """
     spark = contigs.sparkSession
     by = key_columns([k])
+    bases = getattr(contigs, "_index", contigs).filter(F.col("genome").isin(list(genomes))).agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+    buckets = max(buckets, -(-bases // BUCKET_KEYS))
     rows = keys(pieces(contigs.filter(F.col("genome").isin(list(genomes))), [k]), [k], genomes=genomes, places=False)
     counted = rows.groupBy("tag", *by).agg(F.count(F.lit(1)).alias("n"))
     out = counted.select(*by, "n", genome_of(F.col("tag"), genomes).alias("genome")).repartition(buckets, *by)

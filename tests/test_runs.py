@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helixlake.operators import ladder
+from helixlake.operators import keytables, ladder
 from helixlake.operators import strata as S
 from helixlake.operators.kmers import kmers, pieces, spectrum
 from tests.test_kmers import comp, contigs_of
@@ -47,3 +47,13 @@ def test_raster_of_blocks(spark, texts):
     want = ladder.survival_raster(ladder.survival(c, "q", ["s", "u"], ks), 7)
     got = ladder.raster_of_blocks(ladder.survival_blocks(c, "q", ["s", "u"], ks, 7), 7)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_buckets_of_keys_grow_with_the_genomes(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(keytables, "BUCKET_KEYS", 20_000, raising=False)
+    c = contigs_of(spark, texts)
+    keytables.write_keys(c, 31, ["q", "s", "u"], "keys_growing", f"file://{tmp_path}/keys", 4)
+    plan = keytables.strata_from_keys(spark, "keys_growing", c, "q", ["s"], 31)._jdf.queryExecution().executedPlan().toString()
+    bases = sum(len(s) for g in texts.values() for s in g.values())
+    assert f"out of {-(-bases // 20_000)}" in plan and bases > 100_000
+    spark.sql("drop table keys_growing")
