@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,6 +39,40 @@ def place(alignments: DataFrame, contigs: DataFrame) -> DataFrame:
     return alignments.join(contigs.select(F.col("name").alias("qname"), "contig_id", F.col("start").alias("offset")), "qname")
 
 
+def _intervals(alignments: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What positions meet: exact stretches; the last primary alignment's word, exact or broken; what primary ones cover."""
+    runs = exact_runs(alignments).filter(F.col("b") - F.col("a") >= k).join(alignments.select("aln", "contig_id", "tp"), "aln")
+    exact = runs.select("aln", "contig_id", "tp", F.col("a").alias("start"), (F.col("b") - k + 1).alias("end"))
+    main = alignments.filter("tp = 'P' and cigar is not null and qstart < qend")
+    whole = main.select("contig_id", F.col("qstart").alias("start"), (F.col("qend") - k + 1).alias("end"), F.lit("broken").alias("class"), (F.col("aln") * 2).alias("ord")).filter("start < end")
+    inside = exact.filter("tp = 'P'").select("contig_id", "start", "end", F.lit("exact").alias("class"), (F.col("aln") * 2 + 1).alias("ord"))
+    span = main.select("contig_id", F.col("qstart").alias("start"), F.col("qend").alias("end"))
+    return merge(exact), disjoint(whole.unionByName(inside)), merge(span)
+
+
+#: What each interval adds to the mark of its positions.
+EXACTLY, BROKEN, UNBROKEN, COVERED = 1, 2, 4, 8
+
+
+def layers(alignments: DataFrame, k: int) -> DataFrame:
+    """(contig_id, start, end, mark): the intervals that `concordance` paints positions with, as marks for strata.cells."""
+    exact, last, span = _intervals(alignments, k)
+    laid = lambda df, mark: df.select("contig_id", "start", "end", mark.alias("mark"))
+    return laid(exact, F.lit(EXACTLY)).unionByName(laid(last, F.when(F.col("class") == "exact", UNBROKEN).otherwise(BROKEN))).unionByName(laid(span, F.lit(COVERED)))
+
+
+def concordance_of_cells(cells: DataFrame, present: Column) -> DataFrame:
+    """`concordance` of positions counted by mark: cells (mark, pres, mult, n) with the marks of `layers`."""
+    has = lambda bit: F.col("mark").bitwiseAND(bit) != 0
+    counts = _counts(F.col("mult") > 0, present, F.col("mult") == 1, has(EXACTLY), has(BROKEN), has(COVERED))
+    return cells.agg(*[F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).alias(n) for n, x in counts.items()])
+
+
+def _counts(valid: Column, present: Column, one: Column, exact: Column, broken: Column, covered: Column) -> dict[str, Column]:
+    a, b, c = valid & exact, valid & ~exact & broken, valid & ~covered
+    return {"valid": valid, "present": valid & present, "exact": a, "exact_present": a & present, "broken": b, "broken_present": b & present, "broken_single": b & one, "broken_single_present": b & one & present, "uncovered": c, "uncovered_present": c & present}
+
+
 def concordance(alignments: DataFrame, positions: DataFrame, k: int) -> DataFrame:
     """Counts over query positions (contig_id, lpos, valid, present, mult) against alignments (aln, contig_id, qstart, qend,
     strand, cigar, tp), both contig-local.
@@ -49,20 +83,10 @@ def concordance(alignments: DataFrame, positions: DataFrame, k: int) -> DataFram
     Stretches and spans stay intervals, so what alignments add to positions goes with their operations, not with their bases:
     an alignment's exact stretches lie over its span, and a later alignment's over an earlier one's.
     """
-    runs = exact_runs(alignments).filter(F.col("b") - F.col("a") >= k).join(alignments.select("aln", "contig_id", "tp"), "aln")
-    exact = runs.select("aln", "contig_id", "tp", F.col("a").alias("start"), (F.col("b") - k + 1).alias("end"))
-    main = alignments.filter("tp = 'P' and cigar is not null and qstart < qend")
-    whole = main.select("contig_id", F.col("qstart").alias("start"), (F.col("qend") - k + 1).alias("end"), F.lit("broken").alias("class"), (F.col("aln") * 2).alias("ord")).filter("start < end")
-    inside = exact.filter("tp = 'P'").select("contig_id", "start", "end", F.lit("exact").alias("class"), (F.col("aln") * 2 + 1).alias("ord"))
-    span = main.select("contig_id", F.col("qstart").alias("start"), F.col("qend").alias("end"))
-    each = paint(positions, merge(exact).withColumn("class", F.lit("yes")), "exact", "no")
-    each = paint(each, disjoint(whole.unionByName(inside)), "last", "none")
-    each = paint(each, merge(span).withColumn("class", F.lit("yes")), "covered", "no")
-    each = each.withColumns({"exact": F.col("exact") == "yes", "last": F.when(F.col("last") != "none", F.col("last") == "exact"), "covered": F.col("covered") == "yes"})
+    exact, last, span = _intervals(alignments, k)
+    each = paint(positions, exact.withColumn("class", F.lit("yes")), "exact", "no")
+    each = paint(each, last, "last", "none")
+    each = paint(each, span.withColumn("class", F.lit("yes")), "covered", "no")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    valid, present, one = yes("valid"), yes("present"), F.col("mult") == 1
-    a = valid & yes("exact")
-    b = valid & ~yes("exact") & F.coalesce(~F.col("last"), F.lit(False))
-    c = valid & ~yes("covered")
-    tests = {"valid": valid, "present": valid & present, "exact": a, "exact_present": a & present, "broken": b, "broken_present": b & present, "broken_single": b & one, "broken_single_present": b & one & present, "uncovered": c, "uncovered_present": c & present}
+    tests = _counts(yes("valid"), yes("present"), F.col("mult") == 1, F.col("exact") == "yes", F.col("last") == "broken", F.col("covered") == "yes")
     return each.agg(*[F.count_if(x).alias(n) for n, x in tests.items()])

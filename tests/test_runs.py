@@ -57,3 +57,29 @@ def test_buckets_of_keys_grow_with_the_genomes(spark, texts, tmp_path, monkeypat
     bases = sum(len(s) for g in texts.values() for s in g.values())
     assert f"out of {-(-bases // 20_000)}" in plan and bases > 100_000
     spark.sql("drop table keys_growing")
+
+
+@pytest.mark.parametrize("stride", [1, 5])
+def test_cells_are_painted_positions(spark, texts, stride):
+    from helixlake.operators.intervals import paint
+    from helixlake.operators.summaries import cube
+
+    c = contigs_of(spark, texts)
+    ids = [r.contig_id for r in c.filter("genome = 'q' and len > 9000").select("contig_id").collect()]
+    painted = [(ids[0], 0, 3, "SD"), (ids[0], 3, 9001, "ct"), (ids[0], 9001, 9002, "SD"), (ids[1], 4095, 4097, "hor"), (ids[1], 5000, 30_000, "rDNA")]
+    painted = spark.createDataFrame(painted, "contig_id long, start long, end long, class string")
+    got = S.painted_cells(c, "q", ["s", "u"], [21, 101], painted, stride)
+    want = cube(paint(S.strata_ladder(c, "q", ["s", "u"], [21, 101], stride), painted), "k")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select("k", "class", "pres", "mult", "n").collect()))
+    marks = {r["class"]: r.n for r in got.groupBy("class").agg(F.sum("n").alias("n")).collect()}
+    assert {"unique", "SD", "ct", "hor", "rDNA"} >= set(marks) and marks["ct"] > 0 and marks["rDNA"] > 0
+
+
+@pytest.mark.parametrize("name", ["q_lineage_patterns", "q_by_multiplicity", "q_alignment_concordance", "q_random_curve", "q_random_control"])
+def test_positions_are_counted_where_they_are(spark, name):
+    import __spark_entry__ as entry
+    from tests.conftest import DATA
+
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "mult_full#" not in plan  # no row for each position
+    assert not any("lpos#" in x for x in plan.splitlines() if "Join" in x)
