@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.plans.staging import ship
+from helixlake.plans.staging import ship, stage, unstage
 from helixlake.sources.genome import index
 
 #: Bases of a contig that one row covers.
@@ -46,10 +46,13 @@ def pack(rows: DataFrame, contigs: DataFrame, query: str, stride: int = 1, block
 
 def write_packed(blocks: DataFrame, path: str, genome: str, k: int, stride: int = 1, mode: str = "overwrite", group_bytes: int = 8 << 20) -> None:
     """A packed run under path/genome=.../k=.../stride=..., ranged and sorted by (contig_id, block), in row groups of about
-    group_bytes, so that a region's reader skips files and row groups by their least and greatest contig_id and block."""
-    out = blocks.withColumns({"genome": F.lit(genome), "k": F.lit(k), "stride": F.lit(stride)})
+    group_bytes, so that a region's reader skips files and row groups by their least and greatest contig_id and block. Blocks are staged
+    first, as ranges come from a sample of them, and making them again costs more than their bytes."""
+    made = stage(blocks, "blocks")
+    out = made.withColumns({"genome": F.lit(genome), "k": F.lit(k), "stride": F.lit(stride)})
     ranged = out.repartitionByRange("contig_id", "block").sortWithinPartitions("contig_id", "block")
     ranged.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("parquet.block.size", group_bytes).partitionBy("genome", "k", "stride").parquet(path)
+    unstage(made)
 
 
 def read_packed(spark: SparkSession, path: str, genome: str, k: int, stride: int = 1) -> DataFrame:

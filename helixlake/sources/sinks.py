@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_strata(rows: DataFrame, path: str, genome: str, k: int, mode: str = "overwrite") -> None:
+def write_strata(rows: DataFrame, path: str, genome: str, k: int, mode: str = "overwrite", length: int | None = None) -> None:
     """Position tables under path/genome=.../k=..., files sorted by position so that row groups can be skipped.
 
-    Only the run's own partition is replaced; runs of other genomes and k stay.
+    Only the run's own partition is replaced; runs of other genomes and k stay. With the genome's length, files are equal ranges
+    of it; without, ranges come from a sample of rows, for which these are computed once more.
     """
     out = rows.withColumn("genome", F.lit(genome)).withColumn("k", F.lit(k))
-    ranged = out.repartitionByRange("pos").sortWithinPartitions("pos")
+    if length is None:
+        ranged = out.repartitionByRange("pos")
+    else:
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        width = max(1, -(-length // n))
+        ranged = out.repartitionById(n, F.least(F.floor(F.col("pos") / width), F.lit(n - 1)).cast("int"))
+    ranged = ranged.sortWithinPartitions("pos")
     ranged.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("genome", "k").parquet(path)
 
 
