@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.arrowio import slices
+from helixlake.llm.arrowio import SMALL, slices
 from helixlake.llm.stars import BROADCAST_IDS, components, link_buckets
 from helixlake.llm.textkit import U64, common, mix, shingle_sets
 from helixlake.plans.staging import ship, stage
@@ -22,9 +22,13 @@ _TRIES = 32
 
 def _targets(tries: int) -> np.ndarray:
     """For each try and empty bin, the bin to borrow from: the same for all documents."""
+    out = np.empty((tries, BINS), np.uint16)  # made in parts, as every worker makes it
     with np.errstate(over="ignore"):
-        x = mix(np.arange(tries * BINS, dtype=U64) + U64(0xD1B54A32D192ED03))
-    return (x % U64(BINS)).astype(np.int64).reshape(tries, BINS)
+        for a in range(0, tries, 256):
+            n = min(256, tries - a)
+            x = mix(np.arange(a * BINS, (a + n) * BINS, dtype=U64) + U64(0xD1B54A32D192ED03))
+            out[a : a + n] = (x % U64(BINS)).reshape(n, BINS)
+    return out
 
 
 _FEW, _MANY = _targets(_TRIES), _targets(4096)
@@ -40,7 +44,7 @@ def signature(s: np.ndarray) -> np.ndarray:
     out = s[np.minimum(at, len(s) - 1)].copy()
     if not filled.all():
         empty = np.flatnonzero(~filled)
-        for tries in (_FEW, _MANY):
+        for tries in (_FEW, *np.split(_MANY, 16)):  # most find one early
             hit = filled[tries[:, empty]]
             got = hit.any(axis=0)
             out[empty[got]] = out[tries[hit.argmax(axis=0)[got], empty[got]]]
@@ -63,7 +67,7 @@ def bands(s: np.ndarray) -> np.ndarray:
 def _sign(words: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=SMALL):
                 sets = shingle_sets(part.column("text"), words)
                 yield pa.RecordBatch.from_arrays(
                     [
