@@ -1,0 +1,32 @@
+"""Windows counted where k-mers meet."""
+
+import random
+
+import pytest
+
+from helixlake.operators import summaries
+from helixlake.operators import strata as S
+from helixlake.sources.genome import index
+from tests.test_kmers import comp, contigs_of
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(5)
+    bricks = ["".join(r.choices("ACGT", k=300)) for _ in range(20)]
+    row = lambda n: "".join(comp(x) if r.random() < 0.4 else x for x in r.choices(bricks, k=n))
+    return {"q": {"a": row(20), "b": bricks[0] * 2 + "N" + bricks[1], "c": "A" * 5000, "d": "AC"}, "hg002": {"a": row(6), "b": "T" * 900}, "u": {"a": row(3)}}
+
+
+def _same(a, b):
+    return a.columns == b.columns and a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and a.count() > 0
+
+
+def test_windows_of_cells_are_those_of_positions(spark, texts):
+    c, subjects = contigs_of(spark, texts), ["hg002", "u"]
+    own, rows = index(c, "q"), S.strata(c, "q", subjects, 21)
+    for width in (1, 100):
+        cells = S.window_cells(c, "q", subjects, 21, width)
+        assert "lpos" not in cells.columns and cells.agg({"n": "sum"}).first()[0] == rows.count()
+        assert _same(summaries.windows(cells, own, subjects, width), summaries.windows(rows, own, subjects, width))
+        assert _same(summaries.pyramid(cells, own, subjects, width), summaries.pyramid(rows, own, subjects, width))
